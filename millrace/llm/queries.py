@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, token_files
+from millrace.llm import exact_dedup, pieces, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,16 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM d JOIN g USING (norm)
 """
+
+
+@_query
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every document and name its near-duplicate class."""
+    return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document into pieces and decode the ids."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode_decode(_table(spark, sf_dir, "documents"), model, full=False)
