@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, pieces, simhash, token_files
+from millrace.llm import exact_dedup, pieces, quality, simhash, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page by the rules, and by its host's templates where no rule fits."""
+    judged = urls.judge_urls(_table(spark, sf_dir, "pages"), urls.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @_query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids in the token-file format, and read the files back."""
@@ -57,3 +64,12 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document into pieces and decode the ids."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode_decode(_table(spark, sf_dir, "documents"), model, full=False)
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, and judge every document by base rules and certified cutoffs."""
+    verdicts = quality.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return verdicts.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
