@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, pieces, quality, simhash, token_files, urls
+from millrace.llm import exact_dedup, packing, pieces, quality, simhash, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@_query
+def op2_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every document's pieces into sequences of 4096 tokens."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer, capacity=4096, end_id=1)
+
+
 @_query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids in the token-file format, and read the files back."""
