@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, packing, pieces, quality, simhash, token_files, urls
+from millrace.llm import exact_dedup, packing, pieces, quality, simhash, suffix_dedup, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,12 @@ FROM d JOIN g USING (norm)
 """
 
 
+@_query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte covered by a 100-byte string that starts earlier."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100, full=False)
+
+
 @_query
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint every document and name its near-duplicate class."""

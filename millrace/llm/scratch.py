@@ -7,6 +7,7 @@ blocks of an executor. The folder is the session's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -60,3 +61,9 @@ def release(spark: SparkSession, start: int = 0) -> None:
     """Delete the folders made since ``start``; call it once their readers have been written elsewhere."""
     while len(_made) > start:
         remove(spark, _made.pop())
+
+
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Let Spark's context cleaner delete the shuffle files of jobs of which no DataFrame is held any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
