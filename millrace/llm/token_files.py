@@ -87,7 +87,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: key, n_tokens, crc (of the ids as little-endian uint32), ids (binary)."""
+    """One row per document: doc_id, n_tokens, crc (of the ids' bytes, to order equal keys), ids (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -96,7 +96,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, text: str = "
             keys = batch.column(0)
             for first, texts in text_slices(batch):
                 raw = [x + end for x in enc.encode(texts)]
-                crc = [zlib.crc32(np.frombuffer(x, enc.dtype).astype("<u4").tobytes()) for x in raw]
+                crc = [zlib.crc32(x) for x in raw]
                 counts = pa.array([len(x) // enc.dtype.itemsize for x in raw], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(first, len(raw)).cast(pa.int64()), counts, pa.array(crc, pa.int64()), pa.array(raw, pa.binary())],

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 
-#: Chunks kept by a worker before its memo is emptied: some 150 MB.
-MEMO_ENTRIES = 500_000
+#: Chunks in a generation of a worker's memo, of which two are kept: some 150 MB together.
+MEMO_ENTRIES = 400_000
+
+#: White space other than space and line feed.
+OTHER_SPACES = (
+    "\t", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2000", "\u2001", "\u2002",
+    "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000",
+)
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
@@ -35,12 +40,13 @@ class ChunkEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.memo_entries = memo_entries
         self.kind = self._kind(spec)
         if self.kind == "spaced":  # a space belongs to the word after it
-            self.separator, self.odd = "\n", re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+            self.separator, self.odd = "\n", ("  ", "\n\n", " \n", "\n ", "\0", *OTHER_SPACES)
         elif self.kind == "dropped":  # white space only delimits
-            self.separator, self.odd = " \x01 ", re.compile("\x01")
+            self.separator, self.odd = " \x01 ", ("\x01",)
         if self.kind:
             ids = self.tokenizer.encode(self.separator, add_special_tokens=False).ids
             self.separator_id = ids[0] if len(ids) == 1 else None
@@ -84,27 +90,37 @@ class ChunkEncoder:
             ends = [*(cuts * step).tolist(), len(raw)]
             self.memo.update((c, raw[a:b]) for c, a, b in zip(part, begins, ends, strict=True))
 
+    def _is_odd(self, text: str) -> bool:
+        """Whether a text's cuts aren't plain. Substring searches, as they are far faster than one pattern."""
+        if self.kind == "spaced" and (text[0] in " \n" or text[-1] in " \n"):
+            return True
+        return any(x in text for x in self.odd)
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The id bytes of each text."""
         if not self.kind:
             return self.whole(texts)
-        if len(self.memo) > self.memo_entries:
-            self.memo = {}
-        memo, out, plain, odd = self.memo, [b""] * len(texts), [], []
+        if len(self.memo) > self.memo_entries:  # the last generation is kept and gives back what is met again
+            self.memo, self.before = {}, self.memo
+        out, plain, odd = [b""] * len(texts), [], []
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            (odd if self.odd.search(text) or "\0" in text else plain).append(k)
+            if text:
+                (odd if self._is_odd(text) else plain).append(k)
         cut = [self._chunks(texts[k]) for k in plain]
-        new = {c for chunks in cut for c in chunks if c not in memo}
+        memo, before = self.memo, self.before
         memo[""] = b""
-        new.discard("")
+        new = []
+        for chunk in set().union(*cut):
+            if chunk not in memo:
+                if chunk in before:
+                    memo[chunk] = before[chunk]
+                else:
+                    new.append(chunk)
         if self.kind == "spaced" and "\n" in new:
-            new.discard("\n")
+            new.remove("\n")
             memo["\n"] = self.whole(["\n"])[0]
         if new:
-            self._learn(list(new))
-            memo = self.memo
+            self._learn(new)
         get = memo.__getitem__
         for k, chunks in zip(plain, cut, strict=True):
             out[k] = b"".join(map(get, chunks))
