@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, packing, pieces, quality, simhash, suffix_dedup, token_files, urls
+from millrace.llm import exact_dedup, packing, pieces, quality, simhash, suffix_dedup, token_files, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,13 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_table(spark, sf_dir, "documents"), model, full=False)
 
 
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document; learn from the labels that are not held out."""
+    scored = toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @_query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, and judge every document by base rules and certified cutoffs."""
