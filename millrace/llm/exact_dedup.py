@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,6 +57,11 @@ def exact_groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sa
 
 
 def drop_exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", salts: int = 64) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_groups(docs, text=text, key=key, salts=salts).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The documents that stay, with all their columns; rows without doc_id stay."""
+    groups = scratch.written(exact_groups(docs, text=text, key=key, salts=salts).select("doc_id", "kept"), "exact-groups")
+    dropped = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull())
+    dropped = dropped.select(F.col("doc_id").alias("_dropped"))
+    # A doc_id that repeats with several texts is dropped only if none of its texts wins.
+    winners = groups.filter(F.col("kept")).select(F.col("doc_id").alias("_dropped"))
+    gone = scratch.written(dropped.join(winners, "_dropped", "left_anti").select("_dropped").distinct(), "exact-dropped")
+    return docs.join(gone, docs[key] == F.col("_dropped"), "left_anti")

@@ -217,7 +217,7 @@ def cut_pieces(
                         rows.append((first + k, piece, start, len(part), zlib.crc32(part.tobytes()), int(seen[len(part)])))
                         seen[len(part)] += 1
                         if with_ids:
-                            out.append(part.astype(np.int64))
+                            out.append(part.astype(np.int32))
                 if not rows:
                     continue
                 row, piece, start, length, crc, nth = (np.array(x, np.int64) for x in zip(*rows, strict=True))
@@ -226,13 +226,13 @@ def cut_pieces(
                     pa.array(np.full(len(row), task)), pa.array(nth),
                 ]
                 if with_ids:
-                    columns.append(pa.array(out, pa.list_(pa.int64())))
+                    columns.append(pa.array(out, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", *(["ids"] if with_ids else [])]
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, nth bigint"
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema + (", ids array<bigint>" if with_ids else ""))
+    return rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
 def pack_documents(
@@ -277,4 +277,4 @@ def pack_documents(
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return joined.drop("task", "_task", "_length").mapInArrow(place, schema + (", ids array<bigint>" if with_ids else ""))
+    return joined.drop("task", "_task", "_length").mapInArrow(place, schema + (", ids array<int>" if with_ids else ""))

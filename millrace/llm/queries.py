@@ -63,7 +63,7 @@ FROM d JOIN g USING (norm)
 @_query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove every byte covered by a 100-byte string that starts earlier."""
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100, full=False)
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
 
 
 @_query

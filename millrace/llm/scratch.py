@@ -53,14 +53,19 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def mark() -> int:
-    """A position in the list of folders made so far, for :func:`release`."""
+    """A position in the list of folders made so far, for :func:`since`."""
     return len(_made)
 
 
-def release(spark: SparkSession, start: int = 0) -> None:
-    """Delete the folders made since ``start``; call it once their readers have been written elsewhere."""
-    while len(_made) > start:
-        remove(spark, _made.pop())
+def since(start: int) -> list[str]:
+    """The folders made since :func:`mark` gave ``start``."""
+    return _made[start:]
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders that no DataFrame will read again."""
+    for path in folders:
+        remove(spark, path)
 
 
 def drop_finished_shuffles(spark: SparkSession) -> None:

@@ -22,7 +22,8 @@ repeated rows give repeated results; an empty table gives an empty result. Extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -36,12 +37,24 @@ from millrace.llm.tokens import text_slices
 
 BITS = 64
 SEED = 42
+_ODD = 0x9E3779B97F4A7C15
 #: Fingerprints at one anchor from which on midpoints are sorted instead of comparing all pairs; results are the same.
 CROWD = 512
 
 
-def fingerprints_of(texts: list[str], width: int = 3) -> np.ndarray:
-    """The fingerprint of each text, as uint64."""
+def _spread_bytes() -> np.ndarray:
+    """For each byte its eight bits as the eight bytes of a number, lowest first."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+_SPREAD = _spread_bytes()
+
+
+def signatures_of(texts: list[str], width: int = 3, lanes: int = 1) -> np.ndarray:
+    """The signature of each text, ``lanes`` numbers of 64 bits; lane 0 is the fingerprint.
+
+    Further lanes take the bits of hashes that are mixed anew from the first.
+    """
     hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
@@ -58,18 +71,34 @@ def fingerprints_of(texts: list[str], width: int = 3) -> np.ndarray:
         slices = [joined[a:b] for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)]
         hashes.extend(map(xxhash.xxh64_intdigest, slices, repeat(SEED)))
         counts[k] = len(slices)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((len(texts), lanes), np.uint64)
     used = np.flatnonzero(counts)
     if len(used) == 0:
         return out
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    starts = np.concatenate([[0], counts[used].cumsum()[:-1]])
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    set_bits = (2 * ones > counts[used][:, None]).astype(np.uint8)
-    out[used] = np.packbits(set_bits, axis=1, bitorder="little").view("<u8").ravel()
+    base = np.array(hashes, np.uint64)
+    mixed = [base]
+    for lane in range(1, lanes):
+        x = base + np.uint64(_ODD * (2 * lane + 1) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed.append(x ^ (x >> np.uint64(31)))
+    spread = _SPREAD[np.stack(mixed, 1).astype("<u8").view(np.uint8)]
+    # Bits are counted in bytes, so in runs of 255 hashes at most; the runs of a text are added after.
+    starts = counts[used].cumsum() - counts[used]
+    runs = [np.arange(a, a + n, 255) for a, n in zip(starts.tolist(), counts[used].tolist(), strict=True)]
+    parts = np.add.reduceat(spread, np.concatenate(runs), axis=0).astype("<u8").view(np.uint8)
+    first = np.cumsum([0, *map(len, runs[:-1])])
+    ones = np.add.reduceat(parts, first, axis=0, dtype=np.int64)
+    bits = (2 * ones > counts[used][:, None]).astype(np.uint8)
+    out[used] = np.packbits(bits, axis=1, bitorder="little").view("<u8")
     return out
 
 
+def fingerprints_of(texts: list[str], width: int = 3) -> np.ndarray:
+    """The fingerprint of each text, as uint64."""
+    return signatures_of(texts, width)[:, 0]
+
+
 def _nearest_words() -> np.ndarray:
     """For each value of seven bits the code word of the Hamming (7,4) code within one bit of it."""
     position = np.arange(1, 8)
@@ -81,21 +110,23 @@ def _nearest_words() -> np.ndarray:
 _NEAREST = _nearest_words()
 
 
-def anchor_of(words: np.ndarray) -> np.ndarray:
-    """The anchor of each 64-bit word: its nearest code word, block by block."""
-    out = words & np.uint64(1 << 63)
-    for block in range(9):
+def anchor_of(words: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The anchor of each word of ``bits`` bits: its nearest code word, by blocks of seven; bits left over are free."""
+    blocks = bits // 7
+    out = words & np.uint64(((1 << bits) - 1) >> (7 * blocks) << (7 * blocks))
+    for block in range(blocks):
         shift = np.uint64(7 * block)
         out |= _NEAREST[((words >> shift) & np.uint64(127)).astype(np.int64)] << shift
     return out
 
 
-_FLIPS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(BITS, dtype=np.uint64)])
+def _flips(bits: int) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(bits, dtype=np.uint64)])
 
 
-def replicas(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) of every distinct anchor of the words within one bit of each fingerprint."""
-    anchors = np.sort(anchor_of(words[:, None] ^ _FLIPS), axis=1)
+def replicas(words: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) of every distinct anchor of the words within one bit of each."""
+    anchors = np.sort(anchor_of(words[:, None] ^ _flips(bits), bits), axis=1)
     first = np.ones(anchors.shape, bool)
     first[:, 1:] = anchors[:, 1:] != anchors[:, :-1]
     rows = np.nonzero(first)[0]
@@ -140,8 +171,8 @@ def _forest(members: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarr
 
 
 def _by_midpoint(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    middle = (members[:, None] ^ _FLIPS).ravel()
-    owner = np.repeat(members, len(_FLIPS))
+    middle = (members[:, None] ^ _flips(BITS)).ravel()
+    owner = np.repeat(members, BITS + 1)
     order = np.lexsort((owner, middle))
     middle, owner = middle[order], owner[order]
     same = middle[1:] == middle[:-1]
@@ -175,33 +206,36 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
                     [pa.array(anchors.view(np.int64)), pa.array(part[rows].view(np.int64))], names=["anchor", "fp"]
                 )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray] | None = None
-        for batch in batches:
-            anchor, word = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            if held is not None:
-                anchor, word = np.concatenate([held[0], anchor]), np.concatenate([held[1], word])
-            if len(anchor) == 0:
-                continue
-            last = int(np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))[-1])
-            held = (anchor[last:], word[last:])
-            if last:
-                yield _links(anchor[:last], word[:last])
-        if held is not None:
-            yield _links(*held)
-
     return (
         distinct.select("fp")
         .mapInArrow(spread, "anchor bigint, fp bigint")
         .repartition("anchor")
         .sortWithinPartitions("anchor", "fp")
-        .mapInArrow(compare, "a bigint, b bigint")
+        .mapInArrow(lambda batches: _by_anchor(batches, _pairs), "a bigint, b bigint")
         .distinct()
     )
 
 
-def _links(anchor: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
-    low, high = _pairs(anchor, word)
+def _by_anchor(
+    batches: Iterator[pa.RecordBatch], compare: Callable[..., tuple[np.ndarray, np.ndarray]]
+) -> Iterator[pa.RecordBatch]:
+    """Links of rows sorted by their first column; ``compare`` gets whole lists of anchors, never a part of one."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy().view(np.uint64) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+        if len(columns[0]) == 0:
+            continue
+        last = int(np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))[-1])
+        held = [c[last:] for c in columns]
+        if last:
+            yield _as_links(*compare(*(c[:last] for c in columns)))
+    if held is not None:
+        yield _as_links(*compare(*held))
+
+
+def _as_links(low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["a", "b"])
 
 
@@ -261,3 +295,136 @@ def near_duplicate_groups(docs: DataFrame, *, width: int = 3, text: str = "text"
     return marked.join(by_word, F.col("fp") == F.col("f")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Lanes of 64 bits in the signatures that :func:`similar_groups` compares.
+LANES = 4
+
+
+def table_plan(documents: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(bits of a table's word, tables) for signature words within two bits of each other.
+
+    Signatures of texts that share the Jaccard ``similarity`` of their shingles differ in each bit with probability
+    acos(2 s / (1 + s)) / pi. Words have two bits more than it takes to number the documents, so that chance meetings
+    at an anchor stay as many for a document at any corpus size; there are as many tables as ``recall`` takes.
+    """
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(56, max(20, max(1, documents).bit_length() + 2))
+    meet = sum(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(3))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+
+
+def _table_words(signatures: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """A column for each table: ``bits`` bits of the signatures, the next ones in a fixed mixed order of them all."""
+    total = 64 * signatures.shape[1]
+    order = np.random.default_rng(SEED).permutation(total)
+    rounds = [np.roll(order[:: 1 if k % 2 == 0 else -1], 7 * k) for k in range(-(-bits * tables // total))]
+    chosen = np.concatenate(rounds)[: bits * tables].reshape(tables, bits)
+    out = np.zeros((len(signatures), tables), np.uint64)
+    for t in range(tables):
+        for k, bit in enumerate(chosen[t].tolist()):
+            out[:, t] |= ((signatures[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
+def _similar(most: int) -> Callable[..., tuple[np.ndarray, np.ndarray]]:
+    """Star links of the nodes at each anchor whose signatures differ in at most ``most`` bits."""
+
+    def compare(anchor: np.ndarray, node: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+        words = np.stack(lanes, 1)
+        low, high = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a < 2:
+                continue
+            here, left, right = words[a:b], [], []
+            for start in range(0, b - a, 256):  # in blocks of rows, so that memory stays bounded
+                part = here[start : start + 256]
+                apart = np.zeros((len(part), b - a), np.int64)
+                for lane in range(here.shape[1]):
+                    apart += np.bitwise_count(part[:, lane, None] ^ here[None, :, lane])
+                i, j = np.nonzero(apart <= most)
+                later = j > i + start
+                left.append(i[later] + start)
+                right.append(j[later])
+            i, j = np.concatenate(left), np.concatenate(right)
+            if len(i):
+                one, other = _forest(node[a:b], i, j)
+                low.append(one)
+                high.append(other)
+        empty = [np.empty(0, np.uint64)]
+        return np.concatenate(low or empty), np.concatenate(high or empty)
+
+    return compare
+
+
+def similar_groups(
+    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, recall: float = 0.97, text: str = "text", key: str = "doc_id"
+) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id reachable over similar texts).
+
+    For similarities at which fingerprints of 64 bits differ in far more than two: texts are similar if their
+    signatures of 256 bits agree in the share ``similarity`` of them (which texts of that Jaccard similarity pass with
+    some bits to spare). Pairs meet at the anchors of several tables, each a word of some of the signature's bits
+    under the same covering code; at an anchor whole signatures are compared. ``recall`` is the share of the pairs at
+    just that Jaccard similarity that meet; more similar ones meet nearly always.
+    """
+    names = [f"s{k}" for k in range(LANES)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in text_slices(batch, characters=500_000):
+                found = signatures_of(texts, width, LANES).view(np.int64)
+                columns = [batch.column(0).slice(first, len(texts)), *(pa.array(found[:, k]) for k in range(LANES))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names])
+
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = ", ".join(f"{n} bigint" for n in names)
+    marked = scratch.written(rows.mapInArrow(mark, f"doc_id bigint, {schema}"), "signatures")
+    distinct = marked.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
+    distinct = distinct.withColumn("node", F.coalesce("first_id", F.xxhash64(*names)))
+    distinct = scratch.written(distinct, "distinct-signatures")
+    bits, tables = table_plan(distinct.count(), similarity, recall)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            lanes = np.stack([batch.column(k + 1).to_numpy().view(np.uint64) for k in range(LANES)], 1)
+            for first in range(0, len(node), 2048):
+                part = lanes[first : first + 2048]
+                words = _table_words(part, bits, tables)
+                for t in range(tables):
+                    at, anchors = replicas(words[:, t], bits)
+                    where = anchors + np.uint64(_ODD * t % 2**64)  # apart for each table
+                    columns = [pa.array(where.view(np.int64)), pa.array(node[first + at])]
+                    columns += [pa.array(part[at, k].view(np.int64)) for k in range(LANES)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "node", *names])
+
+    shape = f"anchor bigint, node bigint, {schema}"
+    most = math.floor(64 * LANES * (1 - similarity))
+    links = (
+        distinct.select("node", *names)
+        .mapInArrow(spread, shape)
+        .repartition("anchor")
+        .sortWithinPartitions("anchor", "node")
+        .mapInArrow(lambda batches: _by_anchor(batches, _similar(most)), "a bigint, b bigint")
+        .distinct()
+    )
+    classes = components(links).withColumnsRenamed({"node": "n"})
+    named = distinct.join(classes, F.col("node") == F.col("n"), "left").select(*names, "first_id", F.coalesce("root", "node").alias("root"))
+    named = scratch.written(named, "similar-classes")
+    least = named.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.col("root").alias("r"), "component_id")
+    by_signature = named.join(least, F.col("root") == F.col("r")).select(*(F.col(n).alias(f"_{n}") for n in names), "component_id")
+    same = [F.col(n) == F.col(f"_{n}") for n in names]
+    return marked.join(by_signature, same).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, with all their columns, without those that are similar to one of smaller doc_id that stays.
+
+    Of each class the smallest doc_id stays; rows without doc_id stay.
+    """
+    groups = similar_groups(docs, width=width, similarity=similarity, text=text, key=key)
+    dropped = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = scratch.written(dropped, "similar-dropped")
+    return docs.join(dropped, docs[key] == F.col("_dropped"), "left_anti")

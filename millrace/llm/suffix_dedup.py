@@ -35,8 +35,9 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.llm import scratch
 
@@ -319,25 +320,32 @@ def repeated_windows(form: _Form, rows: np.ndarray, owner: np.ndarray, at: np.nd
     return _spans(owner, twin, place, flags, form.length)
 
 
-def _documents(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """_key, _twin, _null and _text of each document. _twin tells apart documents that share a doc_id."""
+def _documents(docs: DataFrame, text: str, key: str, carry: bool = False) -> DataFrame:
+    """_key, _twin, _null and _text of each document, and with ``carry`` its other columns as _rest.
+
+    _twin tells apart documents that share a doc_id.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     rows = docs.select(
         F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("_key"),
         F.col(key).isNull().alias("_null"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
+        *([F.struct(*rest).alias("_rest")] if carry else []),
     )
     shared = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key")
     shared = scratch.written(shared, "shared-ids")
     if shared.isEmpty():
         return rows.withColumn("_twin", F.lit(0))
-    # Few documents share an id: only those are numbered, by text hash and text.
-    marked = rows.withColumn("_hash", F.xxhash64("_text"))
-    distinct = marked.join(shared, "_key", "left_semi").groupBy("_key", "_hash", F.sha2("_text", 256).alias("_sha")).agg(F.count(F.lit(1)).alias("_n"))
-    before = distinct.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), F.col("_sha").alias("_s"))
-    numbered = before.withColumn("_twin", F.expr("dense_rank() OVER (PARTITION BY _k ORDER BY _h, _s) - 1"))
+    # Few documents share an id: only those are numbered, by text hash and digest.
+    marked = rows.withColumn("_hash", F.xxhash64("_text")).withColumn("_sha", F.sha2("_text", 256))
+    distinct = marked.join(shared, "_key", "left_semi").select("_key", "_hash", "_sha").distinct()
+    order = Window.partitionBy("_key").orderBy("_hash", "_sha")
+    numbered = distinct.select(
+        F.col("_key").alias("_k"), F.col("_sha").alias("_s"), (F.dense_rank().over(order) - 1).alias("_twin")
+    )
     numbered = scratch.written(numbered, "twins")
-    fits = (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")) & (F.sha2("_text", 256) == F.col("_s"))
-    return marked.join(numbered, fits, "left").select("_key", "_null", "_text", F.coalesce("_twin", F.lit(0)).alias("_twin"))
+    joined = marked.join(numbered, (F.col("_key") == F.col("_k")) & (F.col("_sha") == F.col("_s")), "left")
+    return joined.select(*rows.columns, F.coalesce("_twin", F.lit(0)).alias("_twin"))
 
 
 def _numpy(column: pa.Array, kind: type = np.int64) -> np.ndarray:
@@ -514,36 +522,53 @@ def _cut(raw: bytes, first: Sequence[int], end: Sequence[int]) -> tuple[bytes, i
     return b"".join(kept), removed, runs
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 100, gram: int = 32, text: str = "text", key: str = "doc_id", full: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``full`` also kept_text."""
+def _with_spans(docs: DataFrame, length: int, gram: int, text: str, key: str, carry: bool) -> DataFrame:
+    """The documents of :func:`_documents` with lists first and end of the spans to remove, or nulls."""
     if not 8 <= gram <= length <= 127 + gram or length > 200:
         raise ValueError("gram must be 8 or more, and length 200 or less and at most gram + 127")
-    documents = _documents(docs, text, key)
-    spans = repeated_spans(documents, length, gram)
+    spans = repeated_spans(_documents(docs, text, key), length, gram)
     scratch.drop_finished_shuffles(docs.sparkSession)
     grouped = spans.groupBy("_k", "_t").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end"))
-    joined = documents.join(grouped, (F.col("_key") == F.col("_k")) & (F.col("_twin") == F.col("_t")), "left")
+    documents = _documents(docs, text, key, carry)
+    return documents.join(grouped, (F.col("_key") == F.col("_k")) & (F.col("_twin") == F.col("_t")), "left")
+
+
+def _cut_batches(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[tuple[int, bytes, int, int]]]]:
+    """(first row, [(bytes, what stays, bytes removed, runs)]) for slices of a batch with text, first, end from ``at``."""
+    texts = batch.column(at).cast(pa.binary())
+    for a, b in _slices(texts):
+        columns = (c.slice(a, b - a).to_pylist() for c in (texts, batch.column(at + 1), batch.column(at + 2)))
+        yield a, [(len(raw), *_cut(raw, first or (), end or ())) for raw, first, end in zip(*columns, strict=True)]
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 100, gram: int = 32, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay)."""
+    joined = _with_spans(docs, length, gram, text, key, carry=False)
     joined = joined.select(F.when(~F.col("_null"), F.col("_key")).alias("doc_id"), "_text", "first", "end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ends = batch.column(1).cast(pa.binary()), batch.column(3)
-            for a, b in _slices(texts):
-                made = [
-                    (len(raw), *_cut(raw, first or (), end or ()))
-                    for raw, first, end in zip(
-                        texts.slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist(), ends.slice(a, b - a).to_pylist(), strict=True
-                    )
-                ]
+            for a, made in _cut_batches(batch, 1):
                 columns = [
-                    batch.column(0).slice(a, b - a),
+                    batch.column(0).slice(a, len(made)),
                     *(pa.array([m[k] for m in made], pa.int64()) for k in (0, 2, 3)),
                     pa.array([hashlib.sha256(m[1]).hexdigest() for m in made]),
                 ]
-                if full:
-                    columns.append(pa.array([m[1].decode("utf-8", "ignore") for m in made]))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+def strip_repeats(docs: DataFrame, *, length: int = 100, gram: int = 32, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents with all their columns, and in the text column what stays (null counts as empty)."""
+    joined = _with_spans(docs, length, gram, text, key, carry=True).select("_rest", "_text", "first", "end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, made in _cut_batches(batch, 1):
+                kept = pa.array([m[1].decode("utf-8", "ignore") for m in made])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(made)), kept], names=["_rest", "_kept"])
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if full else [])]
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if full else "")
-    return joined.mapInArrow(run, schema)
+    schema = StructType([joined.schema["_rest"], StructField("_kept", StringType())])
+    cut = joined.mapInArrow(run, schema)
+    return cut.select(*(F.col("_kept").alias(c) if c == text else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
