@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("flagship",)
+MODULES = ("flagship", "projection", "expressions", "joins", "aggregation", "ordering", "scalars", "ingestion")
 
 
 def load_all() -> None:
