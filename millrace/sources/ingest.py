@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegralType, MapType, StructType
 
 
 def create_frame(spark: SparkSession, data: Any, schema: StructType | DataType | str | list[str] | None = None) -> DataFrame:
@@ -26,7 +26,8 @@ def create_frame(spark: SparkSession, data: Any, schema: StructType | DataType |
     if isinstance(data, pd.DataFrame):
         if isinstance(schema, StructType):
             data = data.reindex(columns=schema.fieldNames()).astype(object)
-            rows = [tuple(None if _missing(v) else v for v in row) for row in data.itertuples(index=False, name=None)]
+            whole = [isinstance(f.dataType, IntegralType) for f in schema.fields]
+            rows = [tuple(map(_cell, row, whole)) for row in data.itertuples(index=False, name=None)]
             return spark.createDataFrame(rows, schema)
         return spark.createDataFrame(data) if schema is None else spark.createDataFrame(data, schema)
     if not isinstance(data, Iterable) or isinstance(data, (str, bytes)):
@@ -37,8 +38,11 @@ def create_frame(spark: SparkSession, data: Any, schema: StructType | DataType |
     return spark.createDataFrame(rows, schema)
 
 
-def _missing(value: Any) -> bool:
-    return value is None or value is pd.NaT or (isinstance(value, float) and value != value)
+def _cell(value: Any, whole: bool) -> Any:
+    """A pandas value as Spark takes it: missing ones as None, and floats that stand for integers as such."""
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
+        return None
+    return int(value) if whole and isinstance(value, float) and value.is_integer() else value
 
 
 def cast_scalars(df: DataFrame, schema: StructType) -> DataFrame:
