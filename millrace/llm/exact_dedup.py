@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import scratch
+from millrace.llm.names import unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,4 +65,6 @@ def drop_exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "do
     # A doc_id that repeats with several texts is dropped only if none of its texts wins.
     winners = groups.filter(F.col("kept")).select(F.col("doc_id").alias("_dropped"))
     gone = scratch.written(dropped.join(winners, "_dropped", "left_anti").select("_dropped").distinct(), "exact-dropped")
-    return docs.join(gone, docs[key] == F.col("_dropped"), "left_anti")
+    name = unused(docs.columns, "_dropped")
+    gone = gone.select(F.col("_dropped").alias(name))
+    return docs.join(gone, docs[key] == gone[name], "left_anti")

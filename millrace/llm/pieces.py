@@ -6,7 +6,9 @@ segment each belongs to. A round looks up the score rank of every adjacent pair,
 (segmented minimum), merges all leftmost non-overlapping pairs of that rank at once and compacts the arrays; segments
 without a pair left drop out. This equals the library's one-at-a-time order as long as a merge's result can't be
 part of a better pair; results that can (found from the model when it is loaded) are merged one at a time, leftmost
-first. Characters without a piece become byte pieces. Leading marks that no word piece took are joined last, as the
+first. Segments of over 512 characters are cut
+where no piece reaches across, and such parts as are still so long are merged with an agenda of pairs instead, which
+gives the same ids. Characters without a piece become byte pieces. Leading marks that no word piece took are joined last, as the
 model has its mark runs at the lowest score.
 
 Decoding joins the pieces' bytes through a table, bytes of byte pieces included, drops the mark put before the text
@@ -19,6 +21,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 
@@ -33,6 +36,8 @@ MARK = "▁"
 #: Segments kept by a worker before its memo is emptied: some 150 MB.
 MEMO_ENTRIES = 500_000
 _NONE = np.int64(1) << 40
+#: Characters from which on a segment is cut where no piece reaches, and its parts are merged one pair at a time.
+LONG = 512
 
 _codecs: dict[str, PieceCodec] = {}
 
@@ -78,10 +83,16 @@ class PieceCodec:
             raise ValueError("mark runs of this model are not supported")
         self.runs = runs
         self._index(spec, normal)
-        single = {c for p in normal if len(p) > 1 for c in p}
-        self.newline_cuts = "\n" not in single
+        longer = [p for p in normal if len(p) > 1]
+        self.newline_cuts = all("\n" not in p for p in longer)
+        self.neighbours = {p[k : k + 2] for p in longer for k in range(len(p) - 1)}
         self.names = names
 
+    def _parts(self, segment: str) -> list[str]:
+        """A long segment cut between characters that stand side by side in no piece, so that no merge joins them."""
+        cuts = [k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in self.neighbours]
+        return [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)]
+
     def _index(self, spec, normal: dict[str, int]) -> None:
         """Symbols are piece ids; other characters get numbers above. Pairs: sorted keys, result and rank."""
         self.char_ids = {p: k for p, k in normal.items() if len(p) == 1}
@@ -195,6 +206,43 @@ class PieceCodec:
                 out[k] = self._with_runs(out[k], mark)
         return out
 
+    def merge_one_by_one(self, segment: str) -> np.ndarray:
+        """The ids of one segment by an agenda of pairs: for segments so long that rounds would be many."""
+        extra = len(self.names)
+        values = sorted({ord(c) for c in segment})
+        number = {v: self.char_ids.get(chr(v), extra + k) for k, v in enumerate(values)}
+        symbol = [number[ord(c)] for c in segment]
+        before, after = list(range(-1, len(symbol) - 1)), [*range(1, len(symbol)), -1]
+        agenda: list[tuple[int, int, int, int, int]] = []
+        known = {}
+
+        def offer(a: int, b: int) -> None:
+            pair = (symbol[a], symbol[b])
+            if pair not in known:
+                rank, result = self._pairs(np.array([pair[0]]), np.array([pair[1]]))
+                known[pair] = (int(rank[0]), int(result[0]))
+            if known[pair][0] != _NONE:
+                heapq.heappush(agenda, (known[pair][0], a, b, *pair))
+
+        for k in range(len(symbol) - 1):
+            offer(k, k + 1)
+        while agenda:
+            _, a, b, left, right = heapq.heappop(agenda)
+            if symbol[a] != left or symbol[b] != right or after[a] != b:
+                continue
+            symbol[a], symbol[b] = known[left, right][1], -1
+            after[a] = after[b]
+            if after[a] >= 0:
+                before[after[a]] = a
+                offer(a, after[a])
+            if before[a] >= 0:
+                offer(before[a], a)
+        ids = np.array([s for s in symbol if s >= 0], np.int64)
+        if (ids >= extra).any():
+            ids = self._with_bytes(ids, extra, np.array(values))
+        mark = self.char_ids.get(MARK)
+        return self._with_runs(ids, mark) if len(ids) > 1 and ids[0] == mark and ids[1] == mark else ids
+
     def _with_bytes(self, ids: np.ndarray, extra: int, values: np.ndarray) -> np.ndarray:
         parts = []
         for k in ids.tolist():
@@ -222,7 +270,13 @@ class PieceCodec:
         memo = self.memo
         memo[""] = b""
         cut = [self.segments_of(t) if t else [] for t in texts]
+        for segments in cut:
+            if any(len(s) > LONG for s in segments):
+                segments[:] = [part for s in segments for part in (self._parts(s) if len(s) > LONG else (s,))]
         new = list({s for segments in cut for s in segments if s not in memo})
+        for segment in [s for s in new if len(s) > LONG]:
+            memo[segment] = self.merge_one_by_one(segment).astype("<u4").tobytes()
+        new = [s for s in new if len(s) <= LONG]
         for first in range(0, len(new), 50_000):
             part = new[first : first + 50_000]
             memo.update(zip(part, (x.astype("<u4").tobytes() for x in self.merge(part)), strict=True))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import scratch
+from millrace.llm.names import unused
 from millrace.llm.tokens import text_slices
 
 BITS = 64
@@ -425,6 +426,7 @@ def drop_similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, te
     Of each class the smallest doc_id stays; rows without doc_id stay.
     """
     groups = similar_groups(docs, width=width, similarity=similarity, text=text, key=key)
-    dropped = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped")).distinct()
+    name = unused(docs.columns, "_dropped")
+    dropped = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
     dropped = scratch.written(dropped, "similar-dropped")
-    return docs.join(dropped, docs[key] == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, docs[key] == dropped[name], "left_anti")

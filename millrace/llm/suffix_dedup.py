@@ -145,7 +145,8 @@ class _Form:
     def suffixes(self, data: np.ndarray, begin: np.ndarray, place: np.ndarray, high: np.ndarray, low: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The matrix of suffixes at ``begin + place`` of the joined documents ``data``."""
         out = np.zeros((len(place), self.width), np.uint8)
-        out[:, :8] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+        # Selected hashes are small ones; mixed again they spread evenly over the buckets.
+        out[:, :8] = _joined(hashes, hashes ^ (hashes >> np.uint64(32))).astype(">u8").view(np.uint8).reshape(-1, 8)
         at = (begin + place)[:, None]
         right, left = np.arange(self.length), np.arange(self.left)
         found = data[np.minimum(at + right, len(data) - 1)]

@@ -170,11 +170,27 @@ def fit_word_machine(positive: Sequence[str], negative: Sequence[str], *, landma
     return table.astype(np.float32), float(w[-1])
 
 
-def document_features(texts: Sequence[str], table: np.ndarray, bias: float) -> np.ndarray:
-    """For each text: largest word score, sum of positive word scores, share of positive words; -1, 0, 0 without words."""
-    out = np.tile([-1.0, 0.0, 0.0], (len(texts), 1))
-    if not len(texts):
-        return out
+#: Characters of a text that are scored at once; longer texts are cut at white space and their parts put together.
+PART = 500_000
+
+
+def _text_parts(texts: Sequence[str]) -> tuple[list[str], np.ndarray]:
+    """Parts of texts and the text that each belongs to."""
+    parts, owner = [], []
+    for k, text in enumerate(texts):
+        while len(text) > PART:
+            cut = max(text.rfind(" ", PART // 2, PART), text.rfind("\n", PART // 2, PART))
+            cut = cut if cut > 0 else PART
+            parts.append(text[:cut])
+            owner.append(k)
+            text = text[cut:]
+        parts.append(text)
+        owner.append(k)
+    return parts, np.array(owner, np.int64)
+
+
+def _word_scores(texts: Sequence[str], table: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all words, and the text that each is in."""
     symbols, begins = _flat(texts)
     total = np.zeros(len(symbols), np.float32)
     for slots, ok, weight in _subsequences(symbols):
@@ -183,8 +199,25 @@ def document_features(texts: Sequence[str], table: np.ndarray, bias: float) -> n
     places = np.diff(np.append(starts, len(symbols))) + 1
     scores = np.add.reduceat(total, starts, dtype=np.float64) / _norm_of(places) + bias
     is_word = places > 2
-    owner = np.searchsorted(begins, starts, side="right") - 1
-    scores, owner = scores[is_word], owner[is_word]
+    return scores[is_word], (np.searchsorted(begins, starts, side="right") - 1)[is_word]
+
+
+def document_features(texts: Sequence[str], table: np.ndarray, bias: float) -> np.ndarray:
+    """For each text: largest word score, sum of positive word scores, share of positive words; -1, 0, 0 without words."""
+    out = np.tile([-1.0, 0.0, 0.0], (len(texts), 1))
+    parts, text_of = _text_parts(texts)
+    found, size, group = [], 0, []
+    for k, part in enumerate([*parts, None]):
+        if group and (part is None or size + len(part) > PART):
+            scores, owner = _word_scores([parts[g] for g in group], table, bias)
+            found.append((scores, text_of[np.array(group)][owner]))
+            group, size = [], 0
+        if part is not None:
+            group.append(k)
+            size += len(part)
+    if not found:
+        return out
+    scores, owner = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(owner):
         return out
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
