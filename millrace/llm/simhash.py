@@ -83,11 +83,17 @@ def signatures_of(texts: list[str], width: int = 3, lanes: int = 1) -> np.ndarra
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         mixed.append(x ^ (x >> np.uint64(31)))
-    spread = _SPREAD[np.stack(mixed, 1).astype("<u8").view(np.uint8)]
+    raw = np.stack(mixed, 1).astype("<u8").view(np.uint8)
     # Bits are counted in bytes, so in runs of 255 hashes at most; the runs of a text are added after.
     starts = counts[used].cumsum() - counts[used]
     runs = [np.arange(a, a + n, 255) for a, n in zip(starts.tolist(), counts[used].tolist(), strict=True)]
-    parts = np.add.reduceat(spread, np.concatenate(runs), axis=0).astype("<u8").view(np.uint8)
+    begins = np.append(np.concatenate(runs), len(raw))
+    parts = []
+    for k in range(0, len(begins) - 1, 400):  # some 100,000 hashes at once, however long a text is
+        edges = begins[k : k + 401]
+        counted = np.add.reduceat(_SPREAD[raw[edges[0] : edges[-1]]], edges[:-1] - edges[0], axis=0)
+        parts.append(counted.astype("<u8").view(np.uint8))
+    parts = np.concatenate(parts)
     first = np.cumsum([0, *map(len, runs[:-1])])
     ones = np.add.reduceat(parts, first, axis=0, dtype=np.int64)
     bits = (2 * ones > counts[used][:, None]).astype(np.uint8)
