@@ -7,13 +7,15 @@ blocks of an executor. The folder is the session's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to delete the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[str] = []
 _local: list[str] = []
 
@@ -39,10 +41,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the table read back."""
+    """Write ``df`` as Parquet to the shared folder and return the table read back.
+
+    Spark deletes the shuffle files behind the table once it is written, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,8 +77,3 @@ def discard(spark: SparkSession, folders: list[str]) -> None:
     for path in folders:
         remove(spark, path)
 
-
-def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete the shuffle files of jobs of which no DataFrame is held any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

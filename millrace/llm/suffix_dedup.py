@@ -157,28 +157,30 @@ class _Form:
         return out
 
 
-_HEAD = struct.Struct("<II")
+_HEAD = struct.Struct("<IIQ")
 
 
 def front_coded(rows: np.ndarray, owner: np.ndarray, at: np.ndarray) -> bytes:
-    """A sorted run of suffixes (no two equal) as shared prefix lengths, owners, places and the bytes behind."""
+    """A sorted run of suffixes (no two equal) as shared prefix lengths, owners, places and the bytes behind, packed."""
     shared = np.zeros(len(rows), np.uint8)
     if len(rows) > 1:
         shared[1:] = (rows[1:] != rows[:-1]).argmax(axis=1)
     rest = rows[np.arange(rows.shape[1]) >= shared[:, None]]
-    return b"".join((_HEAD.pack(len(rows), rows.shape[1]), shared.tobytes(), owner.astype("<i8").tobytes(), at.astype("<i8").tobytes(), rest.tobytes()))
+    body = b"".join((shared.tobytes(), owner.astype("<i8").tobytes(), at.astype("<i8").tobytes(), rest.tobytes()))
+    return _HEAD.pack(len(rows), rows.shape[1], len(body)) + pa.compress(body, codec="zstd", asbytes=True)
 
 
 class _Run:
     """A front-coded run, decoded one suffix at a time."""
 
     def __init__(self, raw: bytes):
-        n, self.width = _HEAD.unpack_from(raw)
+        n, self.width, size = _HEAD.unpack_from(raw)
+        raw = pa.decompress(raw[_HEAD.size :], decompressed_size=size, codec="zstd", asbytes=True)
         self.n, self.raw, self.k = n, raw, -1
-        self.shared = raw[8 : 8 + n]
-        self.owner = np.frombuffer(raw, "<i8", n, 8 + n)
-        self.at = np.frombuffer(raw, "<i8", n, 8 + 9 * n)
-        self.next = 8 + 17 * n
+        self.shared = raw[:n]
+        self.owner = np.frombuffer(raw, "<i8", n, n)
+        self.at = np.frombuffer(raw, "<i8", n, 9 * n)
+        self.next = 17 * n
         self.text = b""
 
     def advance(self) -> bool:
@@ -528,7 +530,6 @@ def _with_spans(docs: DataFrame, length: int, gram: int, text: str, key: str, ca
     if not 8 <= gram <= length <= 127 + gram or length > 200:
         raise ValueError("gram must be 8 or more, and length 200 or less and at most gram + 127")
     spans = repeated_spans(_documents(docs, text, key), length, gram)
-    scratch.drop_finished_shuffles(docs.sparkSession)
     grouped = spans.groupBy("_k", "_t").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end"))
     documents = _documents(docs, text, key, carry)
     return documents.join(grouped, (F.col("_key") == F.col("_k")) & (F.col("_twin") == F.col("_t")), "left")
