@@ -185,17 +185,18 @@ def solve(counts: Counts, capacity: int, *, exact_pieces: int = 60, nodes: int =
     return min(incumbent, searched, key=lambda plan: sum(c for _, c in plan))
 
 
-def _places(plan: list[tuple[Pattern, int]]) -> np.ndarray:
-    """Rows (length, first rank, pieces a copy, first sequence, offset in it), sorted by length and rank."""
+def _places(plan: list[tuple[Pattern, int]]) -> list[tuple[int, ...]]:
+    """Rows (length, first rank, rank behind the last, pieces a copy, first sequence, offset in it)."""
     rows, seen, sequence = [], Counter(), 0
     for pattern, copies in plan:
         offset = 0
         for size, each in pattern:
-            rows.append((size, seen[size], each, sequence, offset))
+            first = seen[size]
             seen[size] += each * copies
+            rows.append((size, first, seen[size], each, sequence, offset))
             offset += size * each
         sequence += copies
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return rows
 
 
 def cut_pieces(
@@ -252,29 +253,21 @@ def pack_documents(
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     # At most one row per length reaches the driver.
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = _places(solve(counts, capacity))
+    columns = "_size bigint, _from bigint, _to bigint, _each bigint, _sequence bigint, _offset bigint"
+    places = docs.sparkSession.createDataFrame(_places(solve(counts, capacity)), columns)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
     firsts = by_task.select(
         F.col("task").alias("_task"), F.col("length").alias("_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first")
     )
     joined = pieces.join(firsts, (F.col("task") == F.col("_task")) & (F.col("length") == F.col("_length")))
-    shared = docs.sparkSession.sparkContext.broadcast(places)  # some rows for each length
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        keys = (table[:, 0] << 44) | table[:, 1]
-        for batch in batches:
-            columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            size = columns["length"].to_numpy()
-            rank = columns["_first"].to_numpy() + columns["nth"].to_numpy()
-            at = np.searchsorted(keys, (size << 44) | rank, side="right") - 1
-            copy, slot = np.divmod(rank - table[at, 1], table[at, 2])
-            out = [columns[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            out += [pa.array(table[at, 3] + copy), pa.array(table[at, 4] + slot * size)]
-            if with_ids:
-                out.append(columns["ids"])
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    return joined.drop("task", "_task", "_length").mapInArrow(place, schema + (", ids array<int>" if with_ids else ""))
+    ranked = joined.withColumn("_rank", F.col("_first") + F.col("nth"))
+    # A few rows for each of at most ``capacity`` lengths, at any corpus size.
+    here = (F.col("length") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    placed = ranked.join(F.broadcast(places), here)
+    within = F.col("_rank") - F.col("_from")
+    return placed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32",
+        (F.col("_sequence") + F.expr("(_rank - _from) div _each")).cast("bigint").alias("sequence_id"),
+        (F.col("_offset") + within % F.col("_each") * F.col("length")).alias("offset"),
+        *(["ids"] if with_ids else []),
+    )
