@@ -86,46 +86,42 @@ def _repeated_words(words: Column) -> Column:
     return _let(_window_hashes(words), count)
 
 
-def text_counts(text: Column) -> dict[str, Column]:
-    """Counts of a whole text, each a bigint; see :data:`COUNTS`."""
+def text_counts(text: Column) -> Column:
+    """A struct of the counts of a whole text, each a bigint; see :data:`COUNTS`."""
     whole = F.coalesce(text, F.lit(""))
 
-    def counts(words: Column) -> Column:
+    def words_of(words: Column) -> Column:
         return F.struct(
-            F.size(words).cast("bigint").alias("n_words"),
-            F.char_length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
-            _repeated_words(words).cast("bigint").alias("n_repeat_words"),
+            F.size(words).alias("n_words"),
+            F.char_length(F.array_join(words, "")).alias("word_chars"),
+            _repeated_words(words).alias("n_repeat_words"),
         )
 
-    def lines(found: Column) -> Column:
-        return F.struct(
-            F.size(found).cast("bigint").alias("n_lines"),
-            (F.size(found) - F.size(F.array_distinct(found))).cast("bigint").alias("n_dup_lines"),
-        )
+    def lines_of(found: Column) -> Column:
+        return F.struct(F.size(found).alias("n_lines"), (F.size(found) - F.size(F.array_distinct(found))).alias("n_dup_lines"))
 
     with_word = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return {
-        "_w": _let(F.array_remove(F.split(whole, WHITE), ""), counts),
-        "_l": _let(with_word, lines),
-        "n_symbols": F.char_length(F.regexp_replace(whole, SYMBOLS, "")).cast("bigint"),
-        "n_upper": F.char_length(F.regexp_replace(whole, "[^A-Z]+", "")).cast("bigint"),
-    }
+    parts = F.struct(
+        _let(F.array_remove(F.split(whole, WHITE), ""), words_of).alias("w"),
+        _let(with_word, lines_of).alias("l"),
+        F.char_length(F.regexp_replace(whole, SYMBOLS, "")).alias("n_symbols"),
+        F.char_length(F.regexp_replace(whole, "[^A-Z]+", "")).alias("n_upper"),
+    )
 
+    def flat(p: Column) -> Column:
+        at = {n: p["w"][n] for n in ("n_words", "word_chars", "n_repeat_words")}
+        at |= {n: p["l"][n] for n in ("n_lines", "n_dup_lines")} | {n: p[n] for n in ("n_symbols", "n_upper")}
+        return F.struct(*(at[n].cast("bigint").alias(n) for n in COUNTS))
 
-def _counted(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` (of columns with underscored names) and the counts of their texts."""
-    parts = text_counts(F.col(text))
-    wide = docs.withColumns({f"_c_{name}": column for name, column in parts.items()})
-    flat = {name: F.col(f"_c__w.{name}") for name in ("n_words", "word_chars", "n_repeat_words")}
-    flat |= {name: F.col(f"_c__l.{name}") for name in ("n_lines", "n_dup_lines")}
-    flat |= {name: F.col(f"_c_{name}") for name in ("n_symbols", "n_upper")}
-    return wide.withColumn("_counts", F.struct(*(flat[name].alias(name) for name in COUNTS))).drop(*(f"_c_{n}" for n in parts))
+    return _let(parts, flat)
 
 
 def document_counts(docs: DataFrame, *, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
     """doc_id, stratum and the counts of every document."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("_text"))
-    return _counted(rows, "_text").select("doc_id", "stratum", *(F.col(f"_counts.{n}").alias(n) for n in COUNTS))
+    rows = docs.select(
+        F.col(key).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), text_counts(F.col(text)).alias("_counts")
+    )
+    return rows.select("doc_id", "stratum", *(F.col(f"_counts.{n}").alias(n) for n in COUNTS))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -234,13 +230,17 @@ def drop_rejected(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", stratum: str = "lang", **control: float
 ) -> DataFrame:
     """The documents that the rules keep, with all their columns and without moving their texts."""
-    counts = document_counts(docs, text=text, key=key, stratum=stratum)
+    # Written first: a filter on counts would else be pushed below them and count every text again.
+    counts = scratch.written(document_counts(docs, text=text, key=key, stratum=stratum), "quality-counts")
     cutoffs = scratch.written(certified_cutoffs(counts, labels, **control), "quality-cutoffs")
     columns = docs.columns
     renamed = docs.toDF(*(f"_in_{k}" for k in range(len(columns))))
     names = dict(zip(columns, renamed.columns, strict=True))
-    joined = _counted(renamed, names[text]).join(
-        _cutoff_table(cutoffs), F.col(names[stratum]).cast("string").eqNullSafe(F.col("_cut_stratum")), "left"
-    )
-    kept = joined.filter(_kept(lambda n: F.col(f"_counts.{n}"), lambda rule: F.col(f"_cutoffs.{rule}")))
+    joined = renamed.join(_cutoff_table(cutoffs), F.col(names[stratum]).cast("string").eqNullSafe(F.col("_cut_stratum")), "left")
+
+    def passes(counts: Column) -> Column:
+        return _kept(lambda n: counts[n], lambda rule: F.col(f"_cutoffs.{rule}"))
+
+    # One expression: as a column and a filter on it, Spark would count words once for each mention of a count.
+    kept = joined.filter(_let(text_counts(F.col(names[text])), passes))
     return kept.select(*(F.col(names[c]).alias(c) for c in columns))
