@@ -51,11 +51,8 @@ def _spread_bytes() -> np.ndarray:
 _SPREAD = _spread_bytes()
 
 
-def signatures_of(texts: list[str], width: int = 3, lanes: int = 1) -> np.ndarray:
-    """The signature of each text, ``lanes`` numbers of 64 bits; lane 0 is the fingerprint.
-
-    Further lanes take the bits of hashes that are mixed anew from the first.
-    """
+def _shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of all texts, one text after the other, and their count in each."""
     hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
@@ -72,11 +69,33 @@ def signatures_of(texts: list[str], width: int = 3, lanes: int = 1) -> np.ndarra
         slices = [joined[a:b] for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)]
         hashes.extend(map(xxhash.xxh64_intdigest, slices, repeat(SEED)))
         counts[k] = len(slices)
-    out = np.zeros((len(texts), lanes), np.uint64)
+    return np.array(hashes, np.uint64), counts
+
+
+def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in order, one text after the other, and their count in each."""
+    hashes, counts = _shingle_hashes(texts, width)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[first], np.bincount(owner[first], minlength=len(texts))
+
+
+def signatures_of(texts: list[str], width: int = 3, lanes: int = 1) -> np.ndarray:
+    """The signature of each text, ``lanes`` numbers of 64 bits; lane 0 is the fingerprint.
+
+    Further lanes take the bits of hashes that are mixed anew from the first.
+    """
+    return _signed(*_shingle_hashes(texts, width), lanes)
+
+
+def _signed(base: np.ndarray, counts: np.ndarray, lanes: int) -> np.ndarray:
+    out = np.zeros((len(counts), lanes), np.uint64)
     used = np.flatnonzero(counts)
     if len(used) == 0:
         return out
-    base = np.array(hashes, np.uint64)
     mixed = [base]
     for lane in range(1, lanes):
         x = base + np.uint64(_ODD * (2 * lane + 1) % 2**64)
@@ -306,6 +325,8 @@ def near_duplicate_groups(docs: DataFrame, *, width: int = 3, text: str = "text"
 
 #: Lanes of 64 bits in the signatures that :func:`similar_groups` compares.
 LANES = 4
+#: Nodes of a candidate class that are tested against each other, or against as many others, in one list.
+BLOCK = 512
 
 
 def table_plan(documents: int, similarity: float, recall: float) -> tuple[int, int]:
@@ -365,31 +386,109 @@ def _similar(most: int) -> Callable[..., tuple[np.ndarray, np.ndarray]]:
     return compare
 
 
+def _alike(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star links that join the nodes of which the sets have at least this Jaccard similarity; every pair is tested."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, value, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[value] > 1
+    owner, column = owner[shared], (np.cumsum(often > 1) - 1)[value[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        held = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - start)), np.float32)
+        held[owner[a:b], column[a:b] - start] = 1
+        common += held @ held.T
+    union = sizes[:, None] + sizes[None, :] - common
+    i, j = np.nonzero(np.triu((common >= similarity * union - 1e-6) & (union > 0), 1))
+    return _forest(node, i, j)
+
+
+def _verified(marked: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join the nodes of exact Jaccard ``similarity`` within each candidate class (node, root).
+
+    Every pair of a class is tested, by whole shingle sets. A class of more than BLOCK nodes is dealt into blocks, and
+    each pair of blocks is a list of its own, so that no task holds a class.
+    """
+    sized = classes.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("root", "r")
+    members = classes.join(sized, F.col("root") == F.col("r")).select(F.col("node").alias("m"), "root", "size")
+    texts = (
+        marked.select("node", "text")
+        .join(members, F.col("node") == F.col("m"))
+        .groupBy("node", "root", "size")
+        .agg(F.first("text").alias("text"))
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in text_slices(batch, characters=500_000):
+                hashes, counts = shingle_sets(part, width)
+                ends = counts.cumsum().tolist()
+                held = [hashes[b - n : b].tobytes() for b, n in zip(ends, counts.tolist(), strict=True)]
+                columns = [batch.column(k).slice(first, len(part)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(held, pa.binary())], names=["node", "root", "size", "held"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, nodes, sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            return _as_links(*_alike(np.array(nodes, np.int64).view(np.uint64), sets, similarity))
+
+        for batch in batches:
+            for root, low, high, node, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, low, high) != current:
+                    if len(nodes) > 1:
+                        yield links()
+                    current, nodes, sets = (root, low, high), [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(held, np.uint64))
+        if len(nodes) > 1:
+            yield links()
+
+    cutting = texts.select("node", "root", "size", "text").mapInArrow(cut, "node bigint, root bigint, size bigint, held binary")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK))
+    return (
+        cutting.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "held")
+        .repartition("root", "low", "high")
+        .sortWithinPartitions("root", "low", "high")
+        .mapInArrow(compare, "a bigint, b bigint")
+        .distinct()
+    )
+
+
 def similar_groups(
     docs: DataFrame, *, width: int = 5, similarity: float = 0.8, recall: float = 0.97, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable over similar texts).
 
-    For similarities at which fingerprints of 64 bits differ in far more than two: texts are similar if their
-    signatures of 256 bits agree in the share ``similarity`` of them (which texts of that Jaccard similarity pass with
-    some bits to spare). Pairs meet at the anchors of several tables, each a word of some of the signature's bits
-    under the same covering code; at an anchor whole signatures are compared. ``recall`` is the share of the pairs at
-    just that Jaccard similarity that meet; more similar ones meet nearly always.
+    For similarities at which fingerprints of 64 bits differ in far more than two: texts are similar if the sets of
+    their shingles have the Jaccard ``similarity``. Signatures of 256 bits over those sets only find candidates: pairs
+    meet at the anchors of several tables, each a word of some of the signature's bits under the same covering code, and
+    at an anchor whole signatures are compared. ``recall`` is the share of the pairs at just that Jaccard similarity
+    that meet; more similar ones meet nearly always. Within a class of candidates every pair is tested by its whole
+    sets, and only those that pass are linked. Equal sets (by a 64-bit hash) are one node.
     """
     names = [f"s{k}" for k in range(LANES)]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in text_slices(batch, characters=500_000):
-                found = signatures_of(texts, width, LANES).view(np.int64)
-                columns = [batch.column(0).slice(first, len(texts)), *(pa.array(found[:, k]) for k in range(LANES))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names])
+                hashes, counts = shingle_sets(texts, width)
+                found = _signed(hashes, counts, LANES).view(np.int64)
+                ends = counts.cumsum().tolist()
+                node = [xxhash.xxh64_intdigest(hashes[b - n : b].tobytes(), SEED) for b, n in zip(ends, counts.tolist(), strict=True)]
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(np.array(node, np.uint64).view(np.int64))]
+                columns += [pa.array(found[:, k]) for k in range(LANES)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts)], names=["doc_id", "node", *names, "text"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = ", ".join(f"{n} bigint" for n in names)
-    marked = scratch.written(rows.mapInArrow(mark, f"doc_id bigint, {schema}"), "signatures")
-    distinct = marked.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
-    distinct = distinct.withColumn("node", F.coalesce("first_id", F.xxhash64(*names)))
+    marked = scratch.written(rows.mapInArrow(mark, f"doc_id bigint, node bigint, {schema}, text string"), "signatures")
+    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.min(n).alias(n) for n in names))
     distinct = scratch.written(distinct, "distinct-signatures")
     bits, tables = table_plan(distinct.count(), similarity, recall)
 
@@ -417,13 +516,13 @@ def similar_groups(
         .mapInArrow(lambda batches: _by_anchor(batches, _similar(most)), "a bigint, b bigint")
         .distinct()
     )
-    classes = components(links).withColumnsRenamed({"node": "n"})
-    named = distinct.join(classes, F.col("node") == F.col("n"), "left").select(*names, "first_id", F.coalesce("root", "node").alias("root"))
+    candidates = scratch.written(components(links), "candidate-classes")
+    verified = components(_verified(marked, candidates, width, similarity)).withColumnsRenamed({"node": "n"})
+    named = distinct.join(verified, F.col("node") == F.col("n"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = scratch.written(named, "similar-classes")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    by_signature = named.join(least, F.col("root") == F.col("r")).select(*(F.col(n).alias(f"_{n}") for n in names), "component_id")
-    same = [F.col(n) == F.col(f"_{n}") for n in names]
-    return marked.join(by_signature, same).select("doc_id", "component_id")
+    by_node = named.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id")
+    return marked.join(by_node, F.col("node") == F.col("n")).select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -143,6 +143,38 @@ def test_similar_documents_go_and_others_stay(spark):
     assert len([k for k in kept if 1000 <= k < 2000]) <= 2
 
 
+def shingle_set(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_only_pairs_of_the_similarity_are_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for k in range(60):  # pairs of Jaccard 0.6 to 0.95, of which the signatures are within 51 bits or near it
+        base = rng.choices(words, k=200)
+        copy = list(base)
+        copy[: 8 + k % 40] = rng.choices(words, k=8 + k % 40)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    base = rng.choices(words, k=150)
+    for k in range(40):  # a chain: each text moves on by some words
+        rows.append((1000 + k, " ".join(base[k * 2 :] + words[: k * 2])))
+    rows += [(2000, "one two three four five six " * 30), (2001, "one two three four five six " * 3)]  # equal sets
+    sets = {k: shingle_set(t) for k, t in rows}
+    want = roots([(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8], sets)
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    apart = {r.doc_id: r.component_id for r in got}
+    assert all(want[k] == want[root] for k, root in apart.items())  # nothing is linked below the similarity
+    assert apart[2001] == 2000
+
+
 def brute_repeats(texts, length):
     seen, out = set(), []
     for raw in texts:
