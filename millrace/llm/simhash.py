@@ -329,59 +329,85 @@ LANES = 4
 BLOCK = 512
 
 
-def table_plan(documents: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(bits of a table's word, tables) for signature words within two bits of each other.
+#: Tables of a word of ROWS least hashes each. A pair of Jaccard 0.8 misses all of them once in 2e9 pairs.
+TABLES, ROWS = 54, 5
+#: Nodes with fewer shingles than this may differ in more bits, as sums of few hashes are often zero.
+FEW = 32
+_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, TABLES * ROWS), dtype=np.uint64)
 
-    Signatures of texts that share the Jaccard ``similarity`` of their shingles differ in each bit with probability
-    acos(2 s / (1 + s)) / pi. Words have two bits more than it takes to number the documents, so that chance meetings
-    at an anchor stay as many for a document at any corpus size; there are as many tables as ``recall`` takes.
-    """
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(56, max(20, max(1, documents).bit_length() + 2))
-    meet = sum(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(3))
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
-
-
-def _table_words(signatures: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """A column for each table: ``bits`` bits of the signatures, the next ones in a fixed mixed order of them all."""
-    total = 64 * signatures.shape[1]
-    order = np.random.default_rng(SEED).permutation(total)
-    rounds = [np.roll(order[:: 1 if k % 2 == 0 else -1], 7 * k) for k in range(-(-bits * tables // total))]
-    chosen = np.concatenate(rounds)[: bits * tables].reshape(tables, bits)
-    out = np.zeros((len(signatures), tables), np.uint64)
-    for t in range(tables):
-        for k, bit in enumerate(chosen[t].tolist()):
-            out[:, t] |= ((signatures[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)) << np.uint64(k)
+
+def table_words(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each set of hashes a word for each table: equal in two sets with the chance Jaccard ** ROWS. Empty sets: 0."""
+    out = np.zeros((len(counts), TABLES), np.uint64)
+    used = np.flatnonzero(counts)
+    if len(used) == 0:
+        return out
+    starts = counts[used].cumsum() - counts[used]
+    for t in range(TABLES):
+        word = np.full(len(used), _ODD * (t + 1) % 2**64, np.uint64)
+        for k in range(t * ROWS, (t + 1) * ROWS):
+            mixed = (hashes ^ _MIXERS[0, k]) * (_MIXERS[1, k] | np.uint64(1))
+            word = (word ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0xBF58476D1CE4E5B9)
+            word ^= word >> np.uint64(29)
+        out[used, t] = word
     return out
 
 
-def _similar(most: int) -> Callable[..., tuple[np.ndarray, np.ndarray]]:
-    """Star links of the nodes at each anchor whose signatures differ in at most ``most`` bits."""
-
-    def compare(anchor: np.ndarray, node: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
-        words = np.stack(lanes, 1)
-        low, high = [], []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a < 2:
-                continue
-            here, left, right = words[a:b], [], []
-            for start in range(0, b - a, 256):  # in blocks of rows, so that memory stays bounded
-                part = here[start : start + 256]
-                apart = np.zeros((len(part), b - a), np.int64)
-                for lane in range(here.shape[1]):
-                    apart += np.bitwise_count(part[:, lane, None] ^ here[None, :, lane])
-                i, j = np.nonzero(apart <= most)
-                later = j > i + start
-                left.append(i[later] + start)
-                right.append(j[later])
+def most_bits(similarity: float, miss: float = 1e-9) -> tuple[int, int]:
+    """Signature bits in which a pair of the Jaccard similarity differs at most, but for ``miss`` of pairs: (any, few).
+
+    A bit differs with probability acos(2 s / (1 + s)) / pi for large sets. Sums of hashes that are zero raise that:
+    by a twentieth at most from FEW shingles on, and by a quarter for four shingles against five, the worst case.
+    """
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    out = []
+    for raised in (1.05, 1.25):
+        p, left, bits = min(0.5, raised * differ), 1.0, -1
+        while left > miss:
+            bits += 1
+            left = sum(math.comb(64 * LANES, k) * p**k * (1 - p) ** (64 * LANES - k) for k in range(bits + 1, 64 * LANES + 1))
+        out.append(bits)
+    return out[0], out[1]
+
+
+def _similar(similarity: float) -> Callable[..., tuple[np.ndarray, np.ndarray]]:
+    """Star links of the nodes at each key that may have the similarity, by signatures and sizes of the sets."""
+    most, most_of_few = most_bits(similarity)
+
+    def compare(key: np.ndarray, node: np.ndarray, size: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        words, sizes, many = np.stack(lanes, 1), size.astype(np.int64), np.diff(edges)
+
+        def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+            apart = sum(np.bitwise_count(x[..., lane] ^ y[..., lane]).astype(np.int16) for lane in range(len(lanes)))
+            less, more = np.minimum(n, m), np.maximum(n, m)
+            return (apart <= np.where(less < FEW, most_of_few, most)) & (less >= similarity * more - 1e-6)
+
+        two = edges[:-1][many == 2]
+        two = two[alike(words[two], words[two + 1], sizes[two], sizes[two + 1])]
+        low, high = [node[two]], [node[two + 1]]
+        for a, n in zip(edges[:-1][many > 2].tolist(), many[many > 2].tolist(), strict=True):
+            b = a + n
+            here, count = words[a:b], sizes[a:b]
+            fits = lambda rows: alike(here[rows, None], here[None], count[rows, None], count[None])  # noqa: B023, E731
+
+            # All that fit the first node are one class at once; only the others are compared with every node.
+            near = fits(np.zeros(1, np.int64))[0]
+            j = np.flatnonzero(near)
+            left, right = [np.zeros(len(j), np.int64)], [j]
+            rest = np.flatnonzero(~near)
+            for start in range(0, len(rest), 256):  # in blocks of rows, so that memory stays bounded
+                part = rest[start : start + 256]
+                i, j = np.nonzero(fits(part))
+                left.append(part[i])
+                right.append(j)
             i, j = np.concatenate(left), np.concatenate(right)
+            i, j = i[i != j], j[i != j]
             if len(i):
                 one, other = _forest(node[a:b], i, j)
                 low.append(one)
                 high.append(other)
-        empty = [np.empty(0, np.uint64)]
-        return np.concatenate(low or empty), np.concatenate(high or empty)
+        return np.concatenate(low), np.concatenate(high)
 
     return compare
 
@@ -461,16 +487,16 @@ def _verified(marked: DataFrame, classes: DataFrame, width: int, similarity: flo
 
 
 def similar_groups(
-    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, recall: float = 0.97, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable over similar texts).
 
     For similarities at which fingerprints of 64 bits differ in far more than two: texts are similar if the sets of
-    their shingles have the Jaccard ``similarity``. Signatures of 256 bits over those sets only find candidates: pairs
-    meet at the anchors of several tables, each a word of some of the signature's bits under the same covering code, and
-    at an anchor whole signatures are compared. ``recall`` is the share of the pairs at just that Jaccard similarity
-    that meet; more similar ones meet nearly always. Within a class of candidates every pair is tested by its whole
-    sets, and only those that pass are linked. Equal sets (by a 64-bit hash) are one node.
+    their shingles have the Jaccard ``similarity``. Sets meet in TABLES tables, at words of ROWS least hashes each, and
+    signatures of 256 bits over the sets are compared there; both only find candidates, and lose a pair of just that
+    similarity with a chance of some 1e-9 each, at any corpus size (for 0.8 and above). Within a class of
+    candidates every pair is tested by its whole sets, and only those that pass are linked. Equal sets (by a 64-bit
+    hash) are one node.
     """
     names = [f"s{k}" for k in range(LANES)]
 
@@ -482,38 +508,21 @@ def similar_groups(
                 ends = counts.cumsum().tolist()
                 node = [xxhash.xxh64_intdigest(hashes[b - n : b].tobytes(), SEED) for b, n in zip(ends, counts.tolist(), strict=True)]
                 columns = [batch.column(0).slice(first, len(texts)), pa.array(np.array(node, np.uint64).view(np.int64))]
-                columns += [pa.array(found[:, k]) for k in range(LANES)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts)], names=["doc_id", "node", *names, "text"])
+                columns += [pa.array(counts.astype(np.int64)), *(pa.array(found[:, k]) for k in range(LANES))]
+                words = table_words(hashes, counts).view(np.int64).ravel()
+                lists = pa.ListArray.from_arrays(np.arange(0, len(words) + 1, TABLES, dtype=np.int32), words)
+                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(texts)], names=["doc_id", "node", "size", *names, "words", "text"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = ", ".join(f"{n} bigint" for n in names)
-    marked = scratch.written(rows.mapInArrow(mark, f"doc_id bigint, node bigint, {schema}, text string"), "signatures")
-    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.min(n).alias(n) for n in names))
+    schema = ", ".join(f"{n} bigint" for n in ("doc_id", "node", "size", *names))
+    marked = scratch.written(rows.mapInArrow(mark, f"{schema}, words array<bigint>, text string"), "signatures")
+    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in ("size", *names, "words")))
     distinct = scratch.written(distinct, "distinct-signatures")
-    bits, tables = table_plan(distinct.count(), similarity, recall)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column(0).to_numpy()
-            lanes = np.stack([batch.column(k + 1).to_numpy().view(np.uint64) for k in range(LANES)], 1)
-            for first in range(0, len(node), 2048):
-                part = lanes[first : first + 2048]
-                words = _table_words(part, bits, tables)
-                for t in range(tables):
-                    at, anchors = replicas(words[:, t], bits)
-                    where = anchors + np.uint64(_ODD * t % 2**64)  # apart for each table
-                    columns = [pa.array(where.view(np.int64)), pa.array(node[first + at])]
-                    columns += [pa.array(part[at, k].view(np.int64)) for k in range(LANES)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "node", *names])
-
-    shape = f"anchor bigint, node bigint, {schema}"
-    most = math.floor(64 * LANES * (1 - similarity))
     links = (
-        distinct.select("node", *names)
-        .mapInArrow(spread, shape)
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "node")
-        .mapInArrow(lambda batches: _by_anchor(batches, _similar(most)), "a bigint, b bigint")
+        distinct.select(F.explode("words").alias("key"), "node", "size", *names)
+        .repartition("key")
+        .sortWithinPartitions("key", "node")
+        .mapInArrow(lambda batches: _by_anchor(batches, _similar(similarity)), "a bigint, b bigint")
         .distinct()
     )
     candidates = scratch.written(components(links), "candidate-classes")

@@ -173,6 +173,23 @@ def test_only_pairs_of_the_similarity_are_linked(spark, monkeypatch, block):
     apart = {r.doc_id: r.component_id for r in got}
     assert all(want[k] == want[root] for k, root in apart.items())  # nothing is linked below the similarity
     assert apart[2001] == 2000
+    assert apart == want
+
+
+def test_pairs_at_just_the_similarity_are_all_linked(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(1500):  # 80 of 100 shingles in common, or four of five
+        words, kept = (104, 84) if k % 2 else (9, 8)
+        base = [f"a{rng.randrange(10**9)}" for _ in range(words)]
+        copy = base[:kept]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    sets = {k: shingle_set(t) for k, t in rows}
+    pairs = [k for k in range(0, 3000, 2) if 0.8 <= jaccard(sets[k], sets[k + 1]) < 0.82]
+    assert len(pairs) == 1500
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [k for k in pairs if got[k + 1] != k] == []
+    assert len(set(got.values())) == 1500
 
 
 def brute_repeats(texts, length):
