@@ -304,8 +304,10 @@ def repeated_windows(form: _Form, rows: np.ndarray, owner: np.ndarray, at: np.nd
     right[0] = -8
     alone = np.append(right < form.gram, True)
     busy = ~(alone[:-1] & alone[1:])
+    by = np.lexsort((place, twin, owner))
     order = np.empty(len(rows), np.int64)
-    order[np.lexsort((place, twin, owner))] = np.arange(len(rows))
+    # Equal places of a document rank alike: a window is no repeat of itself.
+    order[by] = np.append(0, np.any([x[by][1:] != x[by][:-1] for x in (owner, twin, place)], axis=0)).cumsum()
     left = np.zeros(len(rows), np.uint64)
     for a in range(form.left + 1):
         if a:
@@ -323,10 +325,10 @@ def repeated_windows(form: _Form, rows: np.ndarray, owner: np.ndarray, at: np.nd
     return _spans(owner, twin, place, flags, form.length)
 
 
-def _documents(docs: DataFrame, text: str, key: str, carry: bool = False) -> DataFrame:
+def _documents(docs: DataFrame, text: str, key: str, carry: bool = False, once: bool = False) -> DataFrame:
     """_key, _twin, _null and _text of each document, and with ``carry`` its other columns as _rest.
 
-    _twin tells apart documents that share a doc_id.
+    _twin tells apart documents that share a doc_id. With ``once``, rows that repeat a doc_id and text are one.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     rows = docs.select(
@@ -348,6 +350,9 @@ def _documents(docs: DataFrame, text: str, key: str, carry: bool = False) -> Dat
     )
     numbered = scratch.written(numbered, "twins")
     joined = marked.join(numbered, (F.col("_key") == F.col("_k")) & (F.col("_sha") == F.col("_s")), "left")
+    if once:
+        folded = joined.filter(F.col("_k").isNotNull()).dropDuplicates(["_key", "_twin"])
+        joined = joined.filter(F.col("_k").isNull()).union(folded)
     return joined.select(*rows.columns, F.coalesce("_twin", F.lit(0)).alias("_twin"))
 
 
@@ -534,7 +539,7 @@ def _with_spans(docs: DataFrame, length: int, gram: int, text: str, key: str, ca
     """The documents of :func:`_documents` with lists first and end of the spans to remove, or nulls."""
     if not 8 <= gram <= length <= 127 + gram or length > 200:
         raise ValueError("gram must be 8 or more, and length 200 or less and at most gram + 127")
-    spans = repeated_spans(_documents(docs, text, key), length, gram)
+    spans = repeated_spans(_documents(docs, text, key, once=True), length, gram)
     grouped = spans.groupBy("_k", "_t").agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end"))
     documents = _documents(docs, text, key, carry)
     return documents.join(grouped, (F.col("_key") == F.col("_k")) & (F.col("_twin") == F.col("_t")), "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -232,6 +233,16 @@ def test_passages_odd_rows(awkward_docs, no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_a_repeated_row_over_several_runs_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", functools.partial(suffix_dedup.repeated_spans, run_rows=40))
+    rng = random.Random(8)
+    text = " ".join(str(rng.random()) for _ in range(700))
+    rows = [(5, text), (5, text), (None, text[:4000]), (None, text[:4000]), (7, text[2000:6000])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_bytes - r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == [(0, 4000), (0, 4000), (5, len(text) - 4000), (5, len(text) - 4000), (7, 0)]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_windows_are_covered_once_and_runs_merge_in_order(seed):
     rng = random.Random(seed)
