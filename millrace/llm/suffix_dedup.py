@@ -157,30 +157,33 @@ class _Form:
         return out
 
 
-_HEAD = struct.Struct("<IIQ")
+_HEAD = struct.Struct("<IIIQ")
 
 
 def front_coded(rows: np.ndarray, owner: np.ndarray, at: np.ndarray) -> bytes:
-    """A sorted run of suffixes (no two equal) as shared prefix lengths, owners, places and the bytes behind, packed."""
+    """A sorted run of suffixes (no two equal) as shared prefix lengths, owners, places and the bytes behind, packed.
+
+    An owner is a row of one or more numbers.
+    """
     shared = np.zeros(len(rows), np.uint8)
     if len(rows) > 1:
         shared[1:] = (rows[1:] != rows[:-1]).argmax(axis=1)
     rest = rows[np.arange(rows.shape[1]) >= shared[:, None]]
     body = b"".join((shared.tobytes(), owner.astype("<i8").tobytes(), at.astype("<i8").tobytes(), rest.tobytes()))
-    return _HEAD.pack(len(rows), rows.shape[1], len(body)) + pa.compress(body, codec="zstd", asbytes=True)
+    return _HEAD.pack(len(rows), rows.shape[1], owner.size // max(1, len(rows)), len(body)) + pa.compress(body, codec="zstd", asbytes=True)
 
 
 class _Run:
     """A front-coded run, decoded one suffix at a time."""
 
     def __init__(self, raw: bytes):
-        n, self.width, size = _HEAD.unpack_from(raw)
+        n, self.width, numbers, size = _HEAD.unpack_from(raw)
         raw = pa.decompress(raw[_HEAD.size :], decompressed_size=size, codec="zstd", asbytes=True)
         self.n, self.raw, self.k = n, raw, -1
         self.shared = raw[:n]
-        self.owner = np.frombuffer(raw, "<i8", n, n)
-        self.at = np.frombuffer(raw, "<i8", n, 9 * n)
-        self.next = 17 * n
+        self.owner = np.frombuffer(raw, "<i8", numbers * n, n).reshape(n, numbers)
+        self.at = np.frombuffer(raw, "<i8", n, n + 8 * numbers * n)
+        self.next = n + 8 * (numbers + 1) * n
         self.text = b""
 
     def advance(self) -> bool:
@@ -276,14 +279,14 @@ def merge_runs(blobs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return rows, np.array(owners, np.int64), np.array(places, np.int64), np.array(shared, np.int64)
 
 
-def pack_place(place: np.ndarray, twin: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """A place, its document's number among those of its doc_id (18 bits) and the offsets of its windows (7 bits each)."""
-    return (((place << 18) | twin) << 14) | (high << 7) | low
+def pack_place(place: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A place and the offsets of its windows (7 bits each)."""
+    return (place << 14) | (high << 7) | low
 
 
 def unpack_place(at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(place, twin, high, low)"""
-    return at >> 32, (at >> 14) & ((1 << 18) - 1), (at >> 7) & 127, at & 127
+    """(place, high, low)"""
+    return at >> 14, (at >> 7) & 127, at & 127
 
 
 def _spans(owner: np.ndarray, twin: np.ndarray, place: np.ndarray, flags: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -297,8 +300,9 @@ def _spans(owner: np.ndarray, twin: np.ndarray, place: np.ndarray, flags: np.nda
 
 
 def repeated_windows(form: _Form, rows: np.ndarray, owner: np.ndarray, at: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans of the windows of a merged bucket that occur earlier."""
-    place, twin, high, low = unpack_place(at)
+    """Spans of the windows of a merged bucket that occur earlier; an owner is a doc_id and a twin."""
+    place, high, low = unpack_place(at)
+    owner, twin = owner.reshape(-1, 2).T
     flags = np.zeros((len(rows), form.left + 1), bool)
     right = shared - 8
     right[0] = -8
@@ -328,7 +332,7 @@ def repeated_windows(form: _Form, rows: np.ndarray, owner: np.ndarray, at: np.nd
 def _documents(docs: DataFrame, text: str, key: str, carry: bool = False, once: bool = False) -> DataFrame:
     """_key, _twin, _null and _text of each document, and with ``carry`` its other columns as _rest.
 
-    _twin tells apart documents that share a doc_id. With ``once``, rows that repeat a doc_id and text are one.
+    _twin tells apart documents that share a doc_id: the text's hash, or a number next to it where hashes meet. With ``once``, rows that repeat a doc_id and text are one.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     rows = docs.select(
@@ -340,20 +344,20 @@ def _documents(docs: DataFrame, text: str, key: str, carry: bool = False, once:
     shared = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key")
     shared = scratch.written(shared, "shared-ids")
     if shared.isEmpty():
-        return rows.withColumn("_twin", F.lit(0))
-    # Few documents share an id: only those are numbered, by text hash and digest.
+        return rows.withColumn("_twin", F.lit(0).cast("bigint"))
+    # Only documents that share an id are told apart, by text hash; a window holds texts of one hash, not of one id.
     marked = rows.withColumn("_hash", F.xxhash64("_text")).withColumn("_sha", F.sha2("_text", 256))
     distinct = marked.join(shared, "_key", "left_semi").select("_key", "_hash", "_sha").distinct()
-    order = Window.partitionBy("_key").orderBy("_hash", "_sha")
+    order = Window.partitionBy("_key", "_hash").orderBy("_sha")
     numbered = distinct.select(
-        F.col("_key").alias("_k"), F.col("_sha").alias("_s"), (F.dense_rank().over(order) - 1).alias("_twin")
+        F.col("_key").alias("_k"), F.col("_sha").alias("_s"), (F.col("_hash") + (F.row_number().over(order) - 1)).alias("_twin")
     )
     numbered = scratch.written(numbered, "twins")
     joined = marked.join(numbered, (F.col("_key") == F.col("_k")) & (F.col("_sha") == F.col("_s")), "left")
     if once:
         folded = joined.filter(F.col("_k").isNotNull()).dropDuplicates(["_key", "_twin"])
         joined = joined.filter(F.col("_k").isNull()).union(folded)
-    return joined.select(*rows.columns, F.coalesce("_twin", F.lit(0)).alias("_twin"))
+    return joined.select(*rows.columns, F.coalesce("_twin", F.lit(0).cast("bigint")).alias("_twin"))
 
 
 def _numpy(column: pa.Array, kind: type = np.int64) -> np.ndarray:
@@ -372,7 +376,7 @@ def _slices(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
 
 
 def _candidates(documents: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, _key, at) of every anchor whose gram hash occurs twice or more.
+    """(h, _key, at, _twin) of every anchor whose gram hash occurs twice or more.
 
     Of a gram that repeats within some megabytes of text, one anchor goes to the partition of its hash; the others are
     known to repeat and are dealt evenly, so that a passage in a third of all documents loads no task.
@@ -386,10 +390,10 @@ def _candidates(documents: DataFrame, length: int, gram: int) -> DataFrame:
                 _, first, count = np.unique(hashes, return_index=True, return_counts=True)
                 known = np.ones(len(hashes), np.int8)
                 known[first] = np.where(count > 1, 2, 0)
-                at = pack_place(place, twins[a:b][number], high, low)
+                at = pack_place(place, high, low)
                 route = np.where(known == 1, _joined(hashes, at.view(np.uint64) * _ODD), hashes)
-                columns = (route.view(np.int64), known, hashes.view(np.int64), keys[a:b][number], at)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "known", "h", "_key", "at"])
+                columns = (route.view(np.int64), known, hashes.view(np.int64), keys[a:b][number], at, twins[a:b][number])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "known", "h", "_key", "at", "_twin"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, of which the next one decides
@@ -406,34 +410,33 @@ def _candidates(documents: DataFrame, length: int, gram: int) -> DataFrame:
             held, n = batch.slice(len(h) - 1), len(h) - 1
             if n:
                 before = h[n - 1]
-                yield batch.slice(0, n).filter(pa.array(keep[:n])).select(["h", "_key", "at"])
+                yield batch.slice(0, n).filter(pa.array(keep[:n])).select(["h", "_key", "at", "_twin"])
         if held is not None and (held.column(0)[0].as_py() > 0 or (before is not None and before == held.column(1)[0].as_py())):
-            yield held.select(["h", "_key", "at"])
+            yield held.select(["h", "_key", "at", "_twin"])
 
-    rows = documents.select("_key", "_twin", "_text").mapInArrow(find, "route bigint, known tinyint, h bigint, _key bigint, at bigint")
-    dealt = rows.repartition("route").sortWithinPartitions("h").select("known", "h", "_key", "at")
-    return dealt.mapInArrow(repeated, "h bigint, _key bigint, at bigint")
+    rows = documents.select("_key", "_twin", "_text").mapInArrow(find, "route bigint, known tinyint, h bigint, _key bigint, at bigint, _twin bigint")
+    dealt = rows.repartition("route").sortWithinPartitions("h").select("known", "h", "_key", "at", "_twin")
+    return dealt.mapInArrow(repeated, "h bigint, _key bigint, at bigint, _twin bigint")
 
 
 def _runs(documents: DataFrame, candidates: DataFrame, form: _Form, buckets: int, run_rows: int) -> DataFrame:
     """(bucket, blob) rows: front-coded runs, and with bucket -1 - x spans that are settled already."""
-    twin = F.shiftright("at", 14).bitwiseAND((1 << 18) - 1).cast("int")
-    grouped = candidates.groupBy(F.col("_key").alias("_k"), twin.alias("_t")).agg(F.collect_list(F.struct("h", "at")).alias("found"))
+    grouped = candidates.groupBy(F.col("_key").alias("_k"), F.col("_twin").alias("_t")).agg(F.collect_list(F.struct("h", "at")).alias("found"))
     texts = documents.select("_key", "_twin", "_text")
     joined = texts.join(grouped, (F.col("_key") == F.col("_k")) & (F.col("_twin") == F.col("_t")))
-    joined = joined.select("_key", "_text", "found")
+    joined = joined.select("_key", "_twin", "_text", "found")
 
     def sort(rows: np.ndarray, owner: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
         words = rows.view(">u8").astype(np.uint64)
-        place, number, _, _ = unpack_place(at)
-        order = np.lexsort((place, number, owner, *words.T[::-1]))
+        place, _, _ = unpack_place(at)
+        order = np.lexsort((place, owner[:, 1], owner[:, 0], *words.T[::-1]))
         rows, owner, at = rows[order], owner[order], at[order]
         same = np.concatenate([[False], (rows[1:] == rows[:-1]).all(axis=1)])
         if same.any():
-            place, number, high, low = (x[same] for x in unpack_place(at))
-            twice = (owner[same] == owner[np.flatnonzero(same) - 1]) & (at[same] == at[np.flatnonzero(same) - 1])
+            place, high, low = (x[same] for x in unpack_place(at))
+            twice = (owner[same] == owner[np.flatnonzero(same) - 1]).all(axis=1) & (at[same] == at[np.flatnonzero(same) - 1])
             flags = (np.arange(form.left + 1) >= low[:, None]) & (np.arange(form.left + 1) <= high[:, None]) & ~twice[:, None]
-            spans = np.stack(_spans(owner[same], number, place, flags, form.length)).astype("<i8")
+            spans = np.stack(_spans(*owner[same].T, place, flags, form.length)).astype("<i8")
             yield -1 - int(rows[0, 7]), spans.tobytes()
         rows, owner, at = rows[~same], owner[~same], at[~same]
         bucket = _bucket(rows, buckets)
@@ -453,7 +456,8 @@ def _runs(documents: DataFrame, candidates: DataFrame, form: _Form, buckets: int
             )
 
         for batch in batches:
-            keys, texts, found = _numpy(batch.column(0)), batch.column(1).cast(pa.binary()), batch.column(2)
+            owners = np.stack((_numpy(batch.column(0)), _numpy(batch.column(1))), 1)
+            texts, found = batch.column(2).cast(pa.binary()), batch.column(3)
             for a, b in _slices(texts):
                 raw = texts.slice(a, b - a).to_pylist()
                 data = np.frombuffer(b"".join(raw), np.uint8)
@@ -464,9 +468,9 @@ def _runs(documents: DataFrame, candidates: DataFrame, form: _Form, buckets: int
                 hashes, at = _numpy(entries.field(0)).view(np.uint64), _numpy(entries.field(1))
                 for k in range(0, len(at), run_rows):
                     part = slice(k, k + run_rows)
-                    place, _, high, low = unpack_place(at[part])
+                    place, high, low = unpack_place(at[part])
                     rows = form.suffixes(data, begins[number[part]], place, high, low, hashes[part])
-                    parts.append((rows, keys[a:b][number[part]], at[part]))
+                    parts.append((rows, owners[a:b][number[part]], at[part]))
                     held += len(rows)
                     if held >= run_rows:
                         yield flush()
@@ -486,7 +490,7 @@ def _merged(runs: DataFrame, form: _Form) -> DataFrame:
     """(_k, _t, first, end): spans to remove, from merged buckets and those settled before."""
 
     def out(owner: np.ndarray, twin: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        columns = (owner, twin.astype(np.int32), first, end)
+        columns = (owner, twin, first, end)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["_k", "_t", "first", "end"])
 
     def merge(blobs: list[bytes]) -> pa.RecordBatch:
@@ -508,7 +512,7 @@ def _merged(runs: DataFrame, form: _Form) -> DataFrame:
         if blobs:
             yield merge(blobs)
 
-    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "_k bigint, _t int, first bigint, end bigint")
+    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "_k bigint, _t bigint, first bigint, end bigint")
 
 
 def repeated_spans(documents: DataFrame, length: int, gram: int, run_rows: int = 50_000) -> DataFrame:

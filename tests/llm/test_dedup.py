@@ -10,6 +10,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, line_dedup, simhash, suffix_dedup
 from millrace.llm.exact_dedup import LOWER, UPPER
@@ -243,6 +244,17 @@ def test_a_repeated_row_over_several_runs_stays_whole(spark, monkeypatch):
     assert got == [(0, 4000), (0, 4000), (5, len(text) - 4000), (5, len(text) - 4000), (7, 0)]
 
 
+def test_more_texts_share_an_id_than_18_bits_number(spark):
+    rng = random.Random(9)
+    passage = [" ".join(str(rng.random()) for _ in range(20)) for _ in range(10)]
+    long = spark.createDataFrame([(f"{rng.random()} {passage[k % 10]} {rng.random()}",) for k in range(80)], "text string")
+    docs = spark.range(300_000).selectExpr("concat('t', id) AS text").union(long).selectExpr("CAST(NULL AS bigint) AS doc_id", "text")
+    order = [r.text for r in docs.filter("length(text) > 20").orderBy(F.xxhash64("text")).collect()]
+    want = sorted(len(t) - int(gone.sum()) for t, gone in zip(order, brute_repeats([t.encode() for t in order], 100), strict=True))
+    got = suffix_dedup.remove_repeats(docs).filter("n_bytes > 20").selectExpr("n_bytes - n_removed AS kept").collect()
+    assert sorted(r.kept for r in got) == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_windows_are_covered_once_and_runs_merge_in_order(seed):
     rng = random.Random(seed)
