@@ -175,7 +175,7 @@ def judge_urls(
         rows = rows.join(known, F.col("page_id") == F.col("_p"), "left").drop("_p")
     grown = url_templates(rows, **tree)
     stats = template_purity(grown, strength=strength)
-    bad = stats.filter((F.col("purity") >= purity) & (2 * F.col("n_labelled") >= F.col("n_pages")) & (F.col("host") != ""))
+    bad = stats.filter((F.col("purity") >= purity) & (F.col("host") != ""))
     bad = bad.select(F.col("host").alias("_h"), F.col("template").alias("_t"), "purity")
     method = F.when(F.col("_h").isNotNull(), "block").otherwise("allow")
     joined = grown.join(bad, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")

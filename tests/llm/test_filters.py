@@ -141,6 +141,15 @@ def test_templates_generalise_merge_and_reject(spark):
     assert all((r.verdict == "block") == (r.page_id % 4 >= 2) for r in got)
 
 
+def test_templates_are_rejected_by_a_sample_of_labels(spark):
+    rows = [(k, f"http://h.org/{['news', 'spam', 'rare'][k % 3]}/{k}{['', '/offer', '/a/b'][k % 3]}") for k in range(3000)]
+    # a tenth of the pages is labelled, but only three of the last section: too few for the smoothing
+    labels = [(k, int(k % 3 > 0)) for k in range(3000) if k // 3 % 10 == 0 and (k % 3 < 2 or k < 90)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = urls.judge_urls(pages, [], spark.createDataFrame(labels, "page_id bigint, label int")).collect()
+    assert all((r.verdict == "block") == (r.page_id % 3 == 1) for r in got)
+
+
 @pytest.fixture(scope="module")
 def insults(spark):
     rng = random.Random(7)
