@@ -64,6 +64,24 @@ def schema_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return create_frame(spark, [(name, kind) for name, kind in made.dtypes], "name string, kind string")
 
 
+@query(
+    "schema_fields",
+    "SELECT * FROM (VALUES ('head', 0, 'berth', false, 'dock number'), ('head', 1, 'cargo', true, NULL), ('tail', 0, 'cargo', true, NULL), "
+    "('tail', 1, 'tons', true, 'metric'), ('one', 0, 'tons', true, 'metric')) t(part, place, name, nullable, note)",
+    covers="K08 T02 T03",
+)
+def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = T.StructType([
+        T.StructField("berth", T.IntegerType(), False, {"note": "dock number"}),
+        T.StructField("cargo", T.MapType(T.StringType(), T.IntegerType())),
+        T.StructField("tons", T.DoubleType(), True, {"note": "metric"}),
+    ])
+    schema = create_frame(spark, [(1, {"a": 1}, 2.5)], made).schema
+    parts = {"head": schema[:2], "tail": schema[1:], "one": T.StructType([schema["tons"]])}
+    rows = [(part, k, f.name, f.nullable, f.metadata.get("note")) for part, fields in parts.items() for k, f in enumerate(fields)]
+    return create_frame(spark, rows, "part string, place int, name string, nullable boolean, note string")
+
+
 @query(
     "map_to_struct",
     "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id END AS even, CASE WHEN event_id % 2 = 1 THEN event_id END AS odd FROM events",

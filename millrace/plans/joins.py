@@ -1,4 +1,4 @@
-"""Equi-joins of every kind. Sides are filtered first, as the tables' keys are complete."""
+"""Equi-joins of every kind over whole tables. Odd customers' orders get negated keys, so both sides have unmatched rows."""
 
 from __future__ import annotations
 
@@ -11,13 +11,14 @@ from millrace.sources.tables import load
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    left = load(spark, sf_dir, "customer").filter("c_custkey % 3 != 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    right = load(spark, sf_dir, "orders").filter("o_custkey % 2 = 0").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("order_id"))
+    left = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    key = F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).otherwise(-F.col("o_custkey"))
+    right = load(spark, sf_dir, "orders").select(key.alias("id"), F.col("o_orderkey").alias("order_id"))
     return left, right
 
 
-_L = "(SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 3 <> 0)"
-_R = "(SELECT o_custkey AS id, o_orderkey AS order_id FROM orders WHERE o_custkey % 2 = 0)"
+_L = "(SELECT c_custkey AS id, c_name AS name FROM customer)"
+_R = "(SELECT CASE WHEN o_custkey % 2 = 0 THEN o_custkey ELSE -o_custkey END AS id, o_orderkey AS order_id FROM orders)"
 
 
 @query("join_inner", f"SELECT id, name, order_id FROM {_L} JOIN {_R} USING (id)", covers="J01")
@@ -98,18 +99,13 @@ def outer_keep_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join_multi_key",
-    "SELECT a.l_orderkey, a.l_linenumber, n_flags, n_lines FROM "
-    "(SELECT l_orderkey, l_linenumber, count(DISTINCT l_returnflag) AS n_flags FROM lineitem GROUP BY ALL) a JOIN "
-    "(SELECT l_orderkey, l_linenumber, count(*) AS n_lines FROM lineitem WHERE l_quantity > 10 GROUP BY ALL) b "
-    "ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber",
+    "SELECT a.conv_id, a.turn, a.role, b.role AS next_role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn",
     covers="J11",
 )
 def join_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["l_orderkey", "l_linenumber"]
-    items = load(spark, sf_dir, "lineitem")
-    flags = items.groupBy(*keys).agg(F.count_distinct("l_returnflag").alias("n_flags"))
-    lines = items.filter("l_quantity > 10").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"))
-    return flags.join(lines, keys)
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"))
+    return turns.join(following, ["conv_id", "turn"])
 
 
 @query(

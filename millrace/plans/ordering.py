@@ -1,4 +1,8 @@
-"""Ranking windows and sorts. A sort's order is made visible by a row number over the same ordering."""
+"""Ranking windows and sorts.
+
+Sorts return whole tables in order; rows that are compared as a set can't show that, so each ordering has a top-k report
+too, of which the rows depend on the order, and the tests compare the rows of the sorts one by one.
+"""
 
 from __future__ import annotations
 
@@ -29,12 +33,12 @@ for _method, _covers in (("rank", "W01 W02 W05 W08"), ("dense_rank", "W06 W08"),
 
 @query(
     "rank_multi_order",
-    "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey DESC, o_orderpriority) AS r FROM orders",
+    "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderpriority) AS r FROM orders",
     covers="W02 W05",
 )
 def rank_multi_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.desc("o_custkey"), F.asc("o_orderpriority")]
-    return rank_within(load(spark, sf_dir, "orders"), ["o_orderstatus"], order, "r").select("o_orderkey", "r")
+    order = [F.desc("o_orderstatus"), F.asc("o_orderpriority")]
+    return rank_within(load(spark, sf_dir, "orders"), ["o_custkey"], order, "r").select("o_orderkey", "r")
 
 
 _NULLS = "(SELECT event_id, event_type, CASE WHEN event_id % 3 <> 0 THEN user_id END AS u FROM events)"
@@ -42,23 +46,26 @@ _NULLS = "(SELECT event_id, event_type, CASE WHEN event_id % 3 <> 0 THEN user_id
 
 @query(
     "rank_nulls",
-    f"SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY u ASC NULLS FIRST) AS up, "
-    f"rank() OVER (PARTITION BY event_type ORDER BY u DESC NULLS LAST) AS down FROM {_NULLS}",
+    "SELECT event_id, rank() OVER (PARTITION BY user_id ORDER BY v ASC NULLS FIRST) AS up, "
+    "rank() OVER (PARTITION BY user_id ORDER BY v DESC NULLS LAST) AS down "
+    "FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events)",
     covers="W05",
 )
 def rank_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    holed = load(spark, sf_dir, "events").withColumn("u", F.when(F.col("event_id") % 3 != 0, F.col("user_id")))
-    ranked = rank_within(holed, ["event_type"], [F.asc("u")], "up")
-    return rank_within(ranked, ["event_type"], [F.desc("u")], "down").select("event_id", "up", "down")
+    holed = load(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    ranked = rank_within(holed, ["user_id"], [F.asc("v")], "up")
+    return rank_within(ranked, ["user_id"], [F.desc("v")], "down").select("event_id", "up", "down")
 
 
 @query(
     "window_range_sum",
-    "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 10 PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM orders",
+    "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY date_diff('day', DATE '1992-01-01', o_orderdate) "
+    "RANGE BETWEEN 90 PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM orders",
     covers="W03 W04",
 )
 def window_range_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = Window.partitionBy("o_orderstatus").orderBy("o_custkey").rangeBetween(-10, Window.currentRow)
+    days = F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))
+    window = Window.partitionBy("o_custkey").orderBy(days).rangeBetween(-90, Window.currentRow)
     return load(spark, sf_dir, "orders").select("o_orderkey", F.sum("o_orderkey").over(window).alias("total"))
 
 
@@ -92,43 +99,38 @@ _ORDERS = {
 }
 
 
+#: Rows of a top-k report.
+_TOP = 50
+
+
 def _register_sort(name: str) -> None:
     order, sql, covers = _ORDERS[name]
 
-    @query(
-        name,
-        f"SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY {sql}, event_id) AS place, event_type FROM {_NULLS}",
-        covers=covers,
-    )
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        holed = load(spark, sf_dir, "events").withColumn("u", F.when(F.col("event_id") % 3 != 0, F.col("user_id")))
-        keys = [order("u"), F.asc("event_id")]
-        placed = rank_within(holed, ["event_type"], keys, "place", "row_number")
-        return placed.orderBy("event_type", *keys).select("event_id", "place", "event_type")
+    def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+        holed = load(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("u"))
+        return holed.orderBy(order("u"), "event_id")
+
+    oracle = f"SELECT event_id, u FROM {_NULLS} ORDER BY {sql}, event_id"
+    query(name, oracle, covers=covers)(ordered)
+    query(f"{name}_top", f"{oracle} LIMIT {_TOP}", covers=covers)(lambda spark, sf_dir: ordered(spark, sf_dir).limit(_TOP))
 
 
 for _name in _ORDERS:
     _register_sort(_name)
 
 
-@query(
-    "sort_ordinal",
-    "SELECT n_regionkey, n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_nationkey DESC) AS place FROM nation",
-    covers="O03",
-)
-def sort_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = load(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").orderBy(1, -2)
-    # 25 nations reach the unpartitioned window, which numbers them in the order of the sort.
-    place = F.row_number().over(Window.orderBy(F.asc("n_regionkey"), F.desc("n_nationkey")))
-    return ordered.withColumn("place", place.cast("bigint"))
+def _ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey").orderBy(1, -2)
 
 
-@query(
-    "sort_multi",
-    "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_acctbal DESC, c_custkey) AS place FROM customer",
-    covers="O01 O02 O04",
-)
-def sort_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = [F.col("c_nationkey"), F.desc("c_acctbal"), F.col("c_custkey")]
-    placed = rank_within(load(spark, sf_dir, "customer"), ["c_mktsegment"], keys, "place", "row_number")
-    return placed.sort("c_mktsegment", *keys).select("c_custkey", "place")
+def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return kept.sort("c_mktsegment", F.desc("c_acctbal"), F.col("c_custkey"))
+
+
+_ORDINAL = "SELECT s_nationkey, s_suppkey FROM supplier ORDER BY 1, 2 DESC"
+_MULTI = "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey"
+query("sort_ordinal", _ORDINAL, covers="O03")(_ordinal)
+query("sort_ordinal_top", f"{_ORDINAL} LIMIT {_TOP}", covers="O03")(lambda spark, sf_dir: _ordinal(spark, sf_dir).limit(_TOP))
+query("sort_multi", _MULTI, covers="O01 O02 O04")(_multi)
+query("sort_multi_top", f"{_MULTI} LIMIT {_TOP}", covers="O01 O02 O04")(lambda spark, sf_dir: _multi(spark, sf_dir).limit(_TOP))

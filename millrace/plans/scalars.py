@@ -13,11 +13,11 @@ from millrace.sources.tables import load
 
 @query(
     "lit_values",
-    "SELECT n_nationkey, 42 AS i, 3.14::DOUBLE AS f, 'hello' AS s, true AS b, NULL::VARCHAR AS n FROM nation",
+    "SELECT n_nationkey, -7 AS i, 0.125::DOUBLE AS f, 'weir ' AS s, false AS b, NULL::VARCHAR AS n FROM nation",
     covers="F02",
 )
 def lit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = {"i": F.lit(42), "f": F.lit(3.14), "s": F.lit("hello"), "b": F.lit(True), "n": typed_null("string")}
+    values = {"i": F.lit(-7), "f": F.lit(0.125), "s": F.lit("weir "), "b": F.lit(False), "n": typed_null("string")}
     return load(spark, sf_dir, "nation").select("n_nationkey", *(v.alias(k) for k, v in values.items()))
 
 
@@ -86,6 +86,28 @@ def to_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", parse_timestamp(text, "dd/MM/yyyy HH:mm:ss").alias("ts"))
 
 
+#: Datetime patterns and the same ones for strptime.
+_PATTERNS = {
+    "compact": ("yyyyMMddHHmmss", "%Y%m%d%H%M%S"),
+    "slashes": ("MM/dd/yyyy HH:mm:ss", "%m/%d/%Y %H:%M:%S"),
+    "dots": ("dd.MM.yyyy HH.mm.ss", "%d.%m.%Y %H.%M.%S"),
+    "iso": ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
+    "halves": ("yyyy-MM-dd hh:mm:ss a", "%Y-%m-%d %I:%M:%S %p"),
+    "minutes": ("HH:mm dd-MM-yy", "%H:%M %d-%m-%y"),
+    "named": ("dd MMM yyyy HH:mm:ss", "%d %b %Y %H:%M:%S"),
+}
+
+
+@query(
+    "to_timestamp_patterns",
+    "SELECT event_id, " + ", ".join(f"strptime(strftime(ts, '{other}'), '{other}') AS {name}" for name, (_, other) in _PATTERNS.items()) + " FROM events",
+    covers="F09 F12",
+)
+def to_timestamp_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = {name: parse_timestamp(F.date_format("ts", pattern), pattern) for name, (pattern, _) in _PATTERNS.items()}
+    return load(spark, sf_dir, "events").select("event_id", *(column.alias(name) for name, column in made.items()))
+
+
 @query(
     "to_timestamp_fraction",
     "SELECT event_id, strptime(strftime(ts, '%Y-%m-%d %H:%M:%S') || '.123', '%Y-%m-%d %H:%M:%S.%g') AS ms, "
@@ -194,20 +216,21 @@ def element_map_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.select("event_id", value_or_null("m", F.col("k")).alias("v"))
 
 
-@query("get_json_object", "SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS z FROM events", covers="F20")
+@query("get_json_object", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", covers="F20")
 def get_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").select("event_id", json_path("props", "$.k").alias("k"), json_path("props", "$.z").alias("z"))
+    return load(spark, sf_dir, "events").select("event_id", json_path("props", "$.k").alias("k"))
 
 
 @query(
     "get_json_nested",
-    "SELECT event_id, CAST(event_id AS VARCHAR) AS first, event_type AS second FROM events",
+    "SELECT event_id, CAST(user_id AS VARCHAR) AS who, event_type AS last, NULL::VARCHAR AS gone FROM events",
     covers="F20",
 )
 def get_json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit('{"a":{"b":['), "event_id", F.lit(']},"items":[{"id":1},{"id":"'), "event_type", F.lit('"}]}'))
+    text = F.concat(F.lit('{"actor":{"seen":[0,0,'), "user_id", F.lit(']},"log":[{},{"step":"x"},{"step":"'), "event_type", F.lit('"}]}'))
     made = load(spark, sf_dir, "events").select("event_id", text.alias("j"))
-    return made.select("event_id", json_path("j", "$.a.b[0]").alias("first"), json_path("j", "$.items[1].id").alias("second"))
+    paths = {"who": "$.actor.seen[2]", "last": "$.log[2].step", "gone": "$.log[0].step"}
+    return made.select("event_id", *(json_path("j", path).alias(name) for name, path in paths.items()))
 
 
 @query("uuid_shape", "SELECT count(*) AS n, true AS all_v4, count(*) AS n_distinct FROM events", covers="F21")

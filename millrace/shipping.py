@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -22,6 +23,8 @@ def ship(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as staging:
         copy = Path(staging, "tree", package.name)
         shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
-        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(), package.name)), "zip", copy.parent)
+        folder = tempfile.mkdtemp(prefix="millrace-package-")  # on the driver only, which serves the archive until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = shutil.make_archive(str(Path(folder, package.name)), "zip", copy.parent)
     context.addPyFile(archive)
     _served.add(context)

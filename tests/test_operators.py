@@ -75,21 +75,22 @@ def test_strict_rename(spark):
 
 @pytest.fixture
 def sides(spark):
-    left = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id bigint, v string")
-    right = spark.createDataFrame([(2, "X"), (3, "Y"), (4, "Z")], "id bigint, v string")
+    left = spark.createDataFrame([(70, "oak"), (71, "elm"), (71, "ash"), (75, None)], "id bigint, v string")
+    right = spark.createDataFrame([(71, "mill"), (75, "lock"), (None, "weir"), (90, "sluice")], "id bigint, v string")
     return left, right
 
 
 def test_joins(sides):
     left, right = sides
     assert join_suffixed(left, right, "id").columns == ["id", "v", "v_right"]
-    assert sorted(rows(join_suffixed(left, right, "id", "left")), key=str) == [(1, "A", None), (2, "B", "X"), (3, "C", "Y")]
+    want = [(70, "oak", None), (71, "ash", "mill"), (71, "elm", "mill"), (75, None, "lock")]
+    assert sorted(rows(join_suffixed(left, right, "id", "left")), key=str) == want
     assert join_suffixed(left, right, None, "cross").columns == ["id", "v", "id_right", "v_right"]
     assert join_common(left, right).count() == 0
     with pytest.raises(ValueError):
         join_common(left, right.toDF("a", "b"))
     kept = join_outer_keep_left(left, right.withColumnRenamed("v", "w"), "id")
-    assert sorted(rows(kept), key=str) == [(1, "A", None), (2, "B", "X"), (3, "C", "Y"), (None, None, "Z")]
+    assert sorted(rows(kept), key=str) == [*want, (None, None, "sluice"), (None, None, "weir")]
 
 
 def test_getitem_of_other_types_raises(sides):
@@ -123,6 +124,27 @@ def test_maps_as_structs(spark):
         map_keys_in_order(frame, "id", "id")
     with pytest.raises(ValueError):
         map_to_struct(frame, "m")
+    with pytest.raises(ValueError, match="distinct keys"):
+        map_keys_in_order(frame, "m", "id", most=2)
+
+
+def test_schema_objects(spark):
+    fields = [T.StructField("berth", T.IntegerType(), False, {"note": "dock"}), T.StructField("cargo", T.ArrayType(T.StringType()))]
+    schema = T.StructType(fields)
+    assert schema.fieldNames() == ["berth", "cargo"] and len(schema) == 2 and list(schema) == fields
+    assert schema[0] == schema["berth"] == fields[0] and schema[1:] == T.StructType(fields[1:])
+    assert schema["berth"].metadata == {"note": "dock"} and not schema[0].nullable
+    assert spark.createDataFrame([(1, ["a"])], schema).schema["berth"].metadata == {"note": "dock"}
+    with pytest.raises(KeyError):
+        schema["mast"]
+    with pytest.raises(IndexError):
+        schema[2]
+
+
+@pytest.mark.parametrize("name", ["string", "int", "bigint", "float", "double", "boolean", "date", "timestamp_ntz", "decimal(10,2)", "tinyint", "smallint", "binary"])
+def test_type_names_cast(spark, name):
+    made = spark.sql("SELECT '1' AS v").select(F.col("v").try_cast(name).alias("v"))
+    assert made.dtypes == [("v", name)] and made.count() == 1
 
 
 def test_ranks_place_nulls(spark):
