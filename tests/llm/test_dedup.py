@@ -67,6 +67,31 @@ def test_exact_handles_a_hot_text(spark):
     assert sorted((r.group_size, r.kept, r["count"]) for r in got) == [(1, True, 2000), (1000, False, 999), (1000, True, 1)]
 
 
+def test_exact_groups_where_digests_meet(odd_docs, awkward_docs, odd_rows):
+    norm = {k: (t or "").translate(ASCII_LOWER) for k, t, *_ in odd_rows}
+    weak = lambda text: F.unhex(F.hex(F.length(text) % 7))
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(odd_docs, digest=weak).collect()}
+    for k, text in norm.items():
+        group = [j for j, other in norm.items() if other == text]
+        assert (got[k].keep_id, got[k].group_size, got[k].kept) == (max(group), len(group), max(group) == k)
+        assert got[k].text_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    key = lambda r: str(tuple(r))
+    assert sorted(exact_dedup.exact_groups(awkward_docs, digest=weak).collect(), key=key) == sorted(exact_dedup.exact_groups(awkward_docs).collect(), key=key)
+
+
+def test_hot_texts_without_ids_spread(spark):
+    docs = spark.range(4000).selectExpr("IF(id < 1500, NULL, id) AS doc_id", "IF(id % 2 = 0, 'Hot', concat('t', id % 10)) AS text")
+    got = exact_dedup.exact_groups(docs).groupBy("text_sha256", "keep_id", "group_size").count().collect()
+    assert sorted((r.keep_id, r.group_size, r["count"]) for r in got) == [
+        (k, n, n) for k, n in ((3991, 400), (3993, 400), (3995, 400), (3997, 400), (3998, 2000), (3999, 400))
+    ]
+
+
+def test_dropped_by_id_and_text(spark):
+    docs = spark.createDataFrame([(5, "a"), (5, "b"), (9, "A"), (None, "a")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.text) for r in exact_dedup.drop_exact_duplicates(docs).collect()} == {(5, "b"), (9, "A"), (None, "a")}
+
+
 def brute_fingerprint(text, width):
     words = (text or "").encode().lower().split()
     if not words:
@@ -291,10 +316,19 @@ def brute_lines(docs, run):
     return out
 
 
-@pytest.mark.parametrize(("run", "gram"), [(3, 2), (2, 1), (1, 1), (4, 2)])
-def test_repeated_lines(odd_docs, odd_rows, run, gram):
+@pytest.mark.parametrize("run", [1, 2, 3, 4])
+def test_repeated_lines(odd_docs, odd_rows, run):
     want = brute_lines([(k, t) for k, t, *_ in odd_rows], run)
-    got = line_dedup.drop_repeated_lines(odd_docs, run=run, gram=gram, salts=3)
+    got = line_dedup.drop_repeated_lines(odd_docs, run=run, salts=3)
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("run", [1, 2, 3])
+def test_runs_extend_to_both_sides(spark, run):
+    rng = random.Random(run)
+    rows = [(k, "\n".join(rng.choices("abcdefgh", k=rng.randint(0, 25)))) for k in range(60)]  # fingerprints with many contexts
+    want = brute_lines(rows, run)
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), run=run)
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in got.collect()} == want
 
 
@@ -302,4 +336,4 @@ def test_lines_odd_rows(awkward_docs, no_docs):
     assert line_dedup.drop_repeated_lines(awkward_docs).count() == awkward_docs.count()
     assert line_dedup.drop_repeated_lines(no_docs).count() == 0
     with pytest.raises(ValueError):
-        line_dedup.drop_repeated_lines(no_docs, run=1, gram=2)
+        line_dedup.drop_repeated_lines(no_docs, run=0)
