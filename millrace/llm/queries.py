@@ -82,8 +82,8 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delete every line in a run of three lines that starts earlier."""
-    cut = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), run=3, gram=2)
+    """Delete every line that occurs earlier."""
+    cut = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), run=1)
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -91,20 +91,14 @@ ORACLES["op6_line_dedup"] = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
 n AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k
   FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-w AS (
-  SELECT doc_id, j, line AS a, lead(line, 1) OVER p AS b, lead(line, 2) OVER p AS c
-  FROM n WINDOW p AS (PARTITION BY doc_id ORDER BY j)),
-r AS (SELECT doc_id, j, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, j) AS k FROM w WHERE c IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, j + unnest([0, 1, 2]) AS j FROM r WHERE k > 1),
-g AS (SELECT n.doc_id, n.i FROM gone JOIN n USING (doc_id, j)),
-counts AS (
-  SELECT d.doc_id, (SELECT count(*) FROM n WHERE n.doc_id = d.doc_id) AS n_lines,
-         (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id) AS n_removed FROM d),
-kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
-SELECT doc_id, n_lines, n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM counts LEFT JOIN kept USING (doc_id)
+counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_removed FROM n GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t
+  FROM l ANTI JOIN (SELECT doc_id, i FROM n WHERE k > 1) USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
