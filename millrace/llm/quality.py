@@ -4,18 +4,22 @@ Words are runs of characters other than space and U+0009-U+000D. Base rules reje
 in repeated five-word windows. Beyond them, each rule rejects documents of which a ratio exceeds a cutoff, and the
 cutoffs are chosen on labelled documents (quality 1: good, 0: bad) so that false rejection stays limited:
 
-* The rejection budget ``risk`` of a stratum (by default, a language) is shared equally by the rules.
-* A candidate cutoff that rejects k of a stratum's n good documents is certified if the exact binomial probability
-  P(X <= k | n, risk / rules) is at most ``delta`` divided by the number of tests: rules x candidates x strata
-  (Bonferroni). With probability 1 - delta, all certified cutoffs of all strata then reject at most ``risk`` of good
-  documents together.
-* Of a rule's certified cutoffs that reject bad documents ``lift`` times as often as good ones, the one with the largest
-  difference of the two rates is used (ties: the larger cutoff). A stratum with too few labels has no cutoff and
-  rejects by the base rules alone.
-
-Strata are held for the ``max_strata`` values with the most labels; others reject by the base rules alone, so the table
-of cutoffs that is broadcast has a fixed bound. Five-word windows are compared by 64-bit hashes of their words
-within a text.
+* Labelled documents that pass the base rules are split by a hash of their id into a tuning and a holdout half.
+* On the tuning half, each stratum (by default, a language) gets a path: the candidate cutoffs of all rules in the order
+  of their lift (how much oftener they reject bad documents than good ones), each rule's from the largest down, and
+  none below ``lift``. The first t cutoffs of a path, used together, are its step t; each step rejects what the one
+  before rejects, and more.
+* On the holdout half, steps are tested in that order, each by the exact binomial probability P(X <= k | n, risk) that at
+  most k of the n good documents were rejected if the step rejected the share ``risk`` of good ones. A step is
+  certified while this is at most ``delta`` / strata; the first failure ends the path (fixed-sequence testing, which
+  needs no correction within a path; strata are corrected by Bonferroni). Only strata with enough good holdout
+  documents to certify a step that rejects none of them are tested, so the others cost nothing.
+* The last certified step's cutoffs are used. With probability 1 - delta, they reject at most the share ``risk`` of good
+  documents in every stratum. A stratum with too few labels rejects by the base rules alone.
+
+A certified stratum has over ln(1 / delta) / risk good labelled documents, and their table of cutoffs is broadcast while
+it has at most ``broadcast_strata`` rows (counted); beyond that it is joined by an exchange. Five-word windows are
+compared by 64-bit hashes of their words within a text.
 
 Rows: null text counts as having no words (base rules reject it); null stratum is a stratum of its own; repeated
 label rows of a document count once, with the lowest quality; null labels are ignored; repeated document rows are
@@ -148,54 +152,65 @@ def binomial_tail_log(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, start, step, lambda state: state["total"])
 
 
-def certified_cutoffs(
-    counts: DataFrame, labels: DataFrame, *, risk: float = 0.02, delta: float = 0.05, lift: float = 5.0, max_strata: int = 1000
-) -> DataFrame:
-    """One row per stratum with labels: stratum and a cutoff, or null, for each rule."""
+def _rule_steps(labelled: DataFrame, lift: float) -> DataFrame:
+    """(stratum, rule, step, at): the path of each stratum, of cutoff ``step`` (from 1) of a rule at place ``at`` (from 0)."""
+    passed = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"_{r}").alias("exceeds")) for r in RULES)))
+    tally = labelled.select("stratum", "good", "n", passed.alias("p")).groupBy("stratum", "p.rule", "p.exceeds")
+    tally = tally.agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("good"), 0).otherwise(F.col("n"))).alias("bad"))
+    # From here on there are at most as many rows for each stratum and rule as the rule has cutoffs, and one.
+    all_of = Window.partitionBy("stratum", "rule")
+    down = all_of.orderBy(F.desc("exceeds"))
+    smoothed = lambda k, n: (k + 0.5) / (n + 1)
+    k_good, k_bad = F.sum("good").over(down), F.sum("bad").over(down)
+    ratio = smoothed(k_bad, F.sum("bad").over(all_of)) / smoothed(k_good, F.sum("good").over(all_of))
+    # A rule's smaller cutoff can't come before its larger one, so its lift is at most that one's.
+    steps = tally.select("stratum", "rule", "exceeds", "bad", ratio.alias("ratio")).withColumn("ratio", F.min("ratio").over(down))
+    steps = steps.filter((F.col("exceeds") > 0) & (F.col("bad") > 0) & (F.col("ratio") >= lift))
+    order = Window.partitionBy("stratum").orderBy(F.desc("ratio"), "rule", F.desc("exceeds"))
+    return steps.select("stratum", "rule", F.col("exceeds").alias("step"), (F.row_number().over(order) - 1).alias("at"))
+
+
+def certified_cutoffs(counts: DataFrame, labels: DataFrame, *, risk: float = 0.02, delta: float = 0.05, lift: float = 5.0) -> DataFrame:
+    """One row per stratum with a certified step: stratum and a cutoff, or null, for each rule."""
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    marked = marked.groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    known = counts.join(marked, "doc_id").filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    marked = marked.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
+    known = counts.join(marked, F.col("doc_id") == F.col("_id")).filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
     def exceeded(rule: str, cuts: tuple[float, ...]) -> Column:
         ratio = _ratio(rule, F.col)
         return sum((F.when(ratio > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
 
-    passed = F.array(
-        *(F.struct(F.lit(rule).alias("rule"), exceeded(rule, cuts).alias("exceeds")) for rule, (_, cuts) in RULES.items())
-    )
-    tally = (
-        known.select("stratum", (F.col("_quality") >= 1).alias("good"), F.explode(passed).alias("p"))
-        .groupBy("stratum", "p.rule", "p.exceeds")
-        .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    )
-    totals = tally.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
-    strata = (
-        totals.groupBy("stratum").agg(F.max(F.col("n_good") + F.col("n_bad")).alias("n"))
-        .orderBy(F.desc("n"), F.asc_nulls_first("stratum")).limit(max_strata)
-    )
-    strata = strata.withColumn("n_strata", F.count(F.lit(1)).over(Window.partitionBy()))  # of max_strata rows at most
-    cutoff_of = F.create_map(*(x for rule, (_, cuts) in RULES.items() for x in (F.lit(rule), F.lit(list(cuts)))))
-    rejected = (
-        tally.select("stratum", "rule", F.explode(F.expr("CASE WHEN exceeds > 0 THEN sequence(1, exceeds) ELSE array() END")).alias("step"), "good", "bad")
-        .groupBy("stratum", "rule", "step")
-        .agg(F.sum("good").alias("k_good"), F.sum("bad").alias("k_bad"))
-    )
-    # Groups below have at most rules x candidates rows for a stratum, and there are at most max_strata of those.
-    held = rejected.join(totals.withColumnsRenamed({"stratum": "_s", "rule": "_r"}), F.col("stratum").eqNullSafe(F.col("_s")) & (F.col("rule") == F.col("_r")))
-    held = held.join(strata.select(F.col("stratum").alias("_t"), "n_strata"), F.col("stratum").eqNullSafe(F.col("_t")))
-    tests = sum(len(cuts) for _, cuts in RULES.values())
-    share = risk / len(RULES)
-    gain = F.try_divide("k_bad", "n_bad") - F.try_divide("k_good", "n_good")
-    within = F.col("k_good") <= F.col("n_good") * share  # beyond the mean the tail is never small enough
-    log_p = F.when(within, binomial_tail_log(F.col("n_good"), F.col("k_good"), share))
-    sure = held.withColumn("gain", gain).withColumn("log_p", log_p).filter(
-        (F.col("gain") > 0)
-        & (F.col("k_bad") * F.col("n_good") >= F.lit(lift) * F.col("k_good") * F.col("n_bad"))
-        & (F.col("log_p") <= F.log(F.lit(delta) / (F.lit(tests) * F.col("n_strata"))))
-    )
-    best = sure.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "step")).alias("b"))
-    chosen = best.select("stratum", "rule", F.element_at(F.element_at(cutoff_of, F.col("rule")), F.col("b.step")).alias("cutoff"))
-    return chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(rule) for rule in RULES))
+    held = (F.pmod(F.xxhash64(F.lit("holdout"), "_id"), F.lit(2)) == 1).alias("held")
+    levels = [exceeded(rule, cuts).alias(f"_{rule}") for rule, (_, cuts) in RULES.items()]
+    alike = known.select("stratum", held, (F.col("_quality") >= 1).alias("good"), *levels)
+    # One row for documents of a stratum that no cutoff tells apart: what follows does not grow with the labels.
+    alike = alike.groupBy(*alike.columns).agg(F.count(F.lit(1)).alias("n"))
+    alike = scratch.written(alike, "quality-labels")
+    path = scratch.written(_rule_steps(alike.filter("not held"), lift), "quality-path")
+    holdout = alike.filter("held and good")
+    totals = holdout.groupBy("stratum").agg(F.sum("n").alias("n_good"))
+    testable = totals.filter(F.col("n_good") * math.log1p(-risk) <= math.log(delta))
+    testable = scratch.written(testable, "quality-strata")
+    strata = testable.count()
+    entries = path.groupBy("stratum").agg(F.collect_list(F.struct("at", "rule", "step")).alias("path"))  # cutoffs of all rules at most
+    entries = entries.select(F.col("stratum").alias("_s"), "path")
+    joined = holdout.join(entries, F.col("stratum").eqNullSafe(F.col("_s")))
+    level = F.create_map(*(x for rule in RULES for x in (F.lit(rule), F.col(f"_{rule}"))))
+    hits = _let(level, lambda of: F.array_min(F.transform(F.filter("path", lambda e: of[e["rule"]] >= e["step"]), lambda e: e["at"])))
+    first = joined.select("stratum", "n", hits.alias("first")).filter("first IS NOT NULL")
+    first = first.groupBy("stratum", "first").agg(F.sum("n").alias("rejected"))
+    first = first.select(F.col("stratum").alias("_f"), F.col("first"), "rejected")
+    steps = path.join(first, F.col("stratum").eqNullSafe(F.col("_f")) & (F.col("at") == F.col("first")), "left")
+    k = F.sum(F.coalesce("rejected", F.lit(0))).over(Window.partitionBy("stratum").orderBy("at"))  # of one path
+    steps = steps.select("stratum", "rule", "step", "at", k.alias("k_good"))
+    tested = steps.join(testable.withColumnRenamed("stratum", "_t"), F.col("stratum").eqNullSafe(F.col("_t")))
+    within = F.col("k_good") <= F.col("n_good") * risk  # beyond the mean the tail is never small enough
+    log_p = F.when(within, binomial_tail_log(F.col("n_good"), F.col("k_good"), risk))
+    # k grows along a path, and so does its probability: all steps before the last that passes pass too.
+    sure = tested.filter(log_p <= math.log(delta / max(1, strata)))
+    cuts_of = F.create_map(*(x for rule, (_, cuts) in RULES.items() for x in (F.lit(rule), F.lit(list(cuts)))))
+    sure = sure.select("stratum", "rule", F.element_at(F.element_at(cuts_of, F.col("rule")), F.col("step")).alias("cutoff"))
+    return sure.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(rule) for rule in RULES))
 
 
 def _kept(at: Callable[[str], Column], cutoff: Callable[[str], Column]) -> Column:
@@ -205,9 +220,10 @@ def _kept(at: Callable[[str], Column], cutoff: Callable[[str], Column]) -> Colum
     return ~base_failed(at("n_words"), at("n_repeat_words")) & ~rejected
 
 
-def _cutoff_table(cutoffs: DataFrame) -> DataFrame:
-    """At most ``max_strata`` rows, so small enough to broadcast at any input size."""
-    return F.broadcast(cutoffs.select(F.col("stratum").alias("_cut_stratum"), F.struct(*RULES).alias("_cutoffs")))
+def _cutoff_table(cutoffs: DataFrame, broadcast_strata: int = 100_000) -> DataFrame:
+    """The written cutoffs; broadcast if they are few, else left to a join by exchange."""
+    table = cutoffs.select(F.col("stratum").alias("_cut_stratum"), F.struct(*RULES).alias("_cutoffs"))
+    return F.broadcast(table) if cutoffs.count() <= broadcast_strata else table
 
 
 def judge(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -221,9 +237,9 @@ def judge(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def quality_verdicts(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", stratum: str = "lang", **control: float
 ) -> DataFrame:
-    """One row per document: doc_id, stratum, its counts, base_failed and kept. ``control``: risk, delta, lift, max_strata."""
+    """One row per document: doc_id, stratum, its counts, base_failed and kept. ``control``: risk, delta, lift."""
     counts = scratch.written(document_counts(docs, text=text, key=key, stratum=stratum), "quality-counts")
-    return judge(counts, certified_cutoffs(counts, labels, **control))
+    return judge(counts, scratch.written(certified_cutoffs(counts, labels, **control), "quality-cutoffs"))
 
 
 def drop_rejected(

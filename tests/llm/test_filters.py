@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import quality, toxicity, urls
+from millrace.llm import quality, scratch, toxicity, urls
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -63,7 +63,7 @@ def judged(spark):
     docs, labels = [], []
     for k in range(4000):
         good = k % 4 != 0
-        stratum = None if k % 50 == 7 else "en"
+        stratum = None if k % 100 == 7 else "en"
         words = [f"w{rng.randrange(10**6)}" + ("#" if rng.random() < (0.004 if good else 0.6) else "") for _ in range(30)]
         docs.append((k, " ".join(words), stratum))
         labels.append((k, int(good), 0))
@@ -71,20 +71,67 @@ def judged(spark):
     return spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, LABELS)
 
 
-def test_cutoffs_limit_false_rejection(judged):
+def brute_cutoffs(rows, risk, delta, lift):
+    """rows: (stratum, held, good, ratio of each rule). The certified cutoffs of each stratum, by plain loops."""
+    strata = {}
+    for stratum, *rest in rows:
+        strata.setdefault(stratum, []).append(rest)
+    n_good = {s: sum(held and good for held, good, _ in part) for s, part in strata.items()}
+    testable = [s for s in strata if (1 - risk) ** n_good[s] <= delta]
+    out = {}
+    for stratum in testable:
+        tune = [(good, ratio) for held, good, ratio in strata[stratum] if not held]
+        path = []
+        for rule, (_, cuts) in quality.RULES.items():
+            least = math.inf
+            exceeds = [sum(ratio[rule] > c for c in cuts) for _, ratio in tune]
+            for step in sorted(set(exceeds) - {0}, reverse=True):
+                bad = sum(e >= step and not good for (good, _), e in zip(tune, exceeds, strict=True))
+                fine = sum(e >= step and good for (good, _), e in zip(tune, exceeds, strict=True))
+                new = sum(e == step and not good for (good, _), e in zip(tune, exceeds, strict=True))
+                n_bad = sum(not good for good, _ in tune)
+                least = min(least, ((bad + 0.5) / (n_bad + 1)) / ((fine + 0.5) / (len(tune) - n_bad + 1)))
+                if new and least >= lift:
+                    path.append((-least, rule, -step))
+        path.sort()
+        used = {}
+        for _, rule, step in path:
+            after = used | {rule: quality.RULES[rule][1][-step - 1]}
+            wrong = sum(held and good and any(ratio[r] > c for r, c in after.items()) for held, good, ratio in strata[stratum])
+            if wrong > risk * n_good[stratum] or tail(wrong, n_good[stratum], risk) > delta / len(testable):
+                break
+            used = after
+        if used:
+            out[stratum] = used
+    return out
+
+
+@pytest.mark.parametrize(("risk", "lift"), [(0.1, 5.0), (0.02, 5.0), (0.02, 1.5)])
+def test_cutoffs_are_certified_on_the_holdout(judged, risk, lift):
     docs, labels = judged
     counts = quality.document_counts(docs)
-    cutoffs = {r.stratum: r for r in quality.certified_cutoffs(counts, labels, risk=0.1).collect()}
-    assert set(cutoffs) == {"en"}
-    cut = cutoffs["en"].symbols_per_word
-    rows = [r for r in counts.collect() if r.stratum == "en"]
-    good = [r.n_symbols / r.n_words for r in rows if r.doc_id % 4]
-    bad = [r.n_symbols / r.n_words for r in rows if r.doc_id % 4 == 0]
-    tests = sum(len(c) for _, c in quality.RULES.values()) * 2
-    sure = [c for c in quality.RULES["symbols_per_word"][1] if sum(x > c for x in good) < 200 and tail(sum(x > c for x in good), len(good), 0.1 / 5) <= 0.05 / tests]
-    assert cut in sure
-    assert sum(x > cut for x in bad) / len(bad) > 0.95 and sum(x > cut for x in good) / len(good) < 0.02
-    assert cutoffs["en"].upper_share is None
+    got = {r.stratum: {k: v for k, v in r.asDict().items() if k in quality.RULES and v is not None} for r in quality.certified_cutoffs(counts, labels, risk=risk, lift=lift).collect()}
+    held = F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)) == 1
+    rows = []
+    for r in counts.withColumn("held", held).collect():
+        ratio = {rule: r[a] / r[b] if r[b] else 0.0 for rule, ((a, b), _) in quality.RULES.items()}
+        if not (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words):
+            rows.append((r.stratum, r.held, r.doc_id % 4 != 0 and r.doc_id != 8, ratio))
+    assert got == brute_cutoffs(rows, risk, 0.05, lift)
+    assert set(got) == {"en"}
+    good = [ratio for _, _, fine, ratio in rows if fine]
+    assert sum(any(x[k] > c for k, c in got["en"].items()) for x in good) / len(good) <= risk
+
+
+def test_real_labels_certify_cutoffs(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    known = scratch.written(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    verdicts = quality.quality_verdicts(known, labels).join(labels.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
+    beyond = verdicts.filter("not base_failed")
+    counted = {"wrong": "quality = 1 and not kept", "good": "quality = 1", "right": "quality = 0 and not kept", "bad": "quality = 0"}
+    row = beyond.agg(*(F.count_if(F.expr(test)).alias(name) for name, test in counted.items())).first()
+    assert row.wrong <= 0.02 * row.good and row.right > 0.5 * row.bad
 
 
 def test_rejected_documents_go_alike(judged):
