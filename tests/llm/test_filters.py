@@ -221,7 +221,7 @@ def insults(spark):
 
 def test_insults_are_learned_with_gaps(insults):
     docs, labels = insults
-    rows = {r.doc_id: r for r in toxicity.score_documents(docs, labels, negatives=1500, landmarks=64).collect()}
+    rows = {r.doc_id: r for r in toxicity.score_documents(docs, labels, landmarks=64).collect()}
     assert len(rows) == docs.count()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
     for k, r in rows.items():
@@ -252,12 +252,77 @@ def test_held_out_labels_are_not_learned_from(insults):
 
 
 def test_the_folded_table_is_the_kernel_machine():
-    positive, negative = ["blarghok", "zumwit"], ["theon", "shand", "reti", "ouer"]
-    table, bias = toxicity.fit_word_machine(positive, negative, landmarks=6)
-    for word in ["blarghok", "blarxghok", "theon", "zumwit"]:
+    rng = random.Random(1)
+    plain, bad = ["theon", "shand", "reti", "ouer", "ingat"], ["blarghok", "zumwit"]
+    part = [(k, k % 2, " ".join(rng.choices(plain, k=6) + ([bad[k // 2 % 2]] if k % 2 else []))) for k in range(120)]
+    table, bias = toxicity.fit_sentence_machine([s for *_, s in part], [t for _, t, _ in part], [d for d, *_ in part], landmarks=6)
+    for word in ["blarghok", "blarxghok", "theon", "zumwit", "y" * 700]:
         slots, weights = toxicity.word_features([word])[0]
         direct = float((table[slots] * weights).sum()) + bias
         assert toxicity.document_features([word], table, bias)[0, 0] == pytest.approx(direct, abs=1e-4)
-    scores = toxicity.document_features([*positive, *negative], table, bias)[:, 0]
+    scores = toxicity.document_features([*bad, *plain], table, bias)[:, 0]
     assert (scores[:2] > 0).all() and (scores[2:] < 0).all()
     assert np.isfinite(scores).all()
+
+
+def test_the_kernel_is_the_sum_over_gapped_subsequences():
+    words, marks = ["blarghok", "a", "zum-wit", "привет", "x" * 300], ["blarghok", "blaargho", "привет"]
+
+    def brute(word):
+        symbols = toxicity._flat([word])[0].tolist()
+        out = Counter()
+        for steps in toxicity.STEPS:
+            for k in range(len(symbols) - sum(steps)):
+                out[tuple(symbols[k + sum(steps[:j])] for j in range(4))] += toxicity.DECAY ** (sum(steps) + 1)
+        square = sum(max(0, len(symbols) - sum(s)) * toxicity.DECAY ** (2 * (sum(s) + 1)) for s in toxicity.STEPS)
+        return {k: v / math.sqrt(square or 1) for k, v in out.items()}
+
+    want = [[sum(v * brute(m).get(k, 0) for k, v in brute(w).items()) for m in marks] for w in words]
+    assert toxicity._kernel(words, toxicity.word_features(marks)) == pytest.approx(np.array(want), abs=1e-3)
+
+
+def test_symbols_tell_scripts_apart():
+    flat = lambda word: toxicity._flat([word])[0].tolist()
+    assert flat("дурак") != flat("мирок") and flat("дурак") == flat("ДУРАК")
+    assert len({tuple(flat(c)) for c in "абвгдежзиклмнопрст"}) > 12
+    assert flat("愚") != flat("水") and flat("😀") != flat("😈")
+    assert flat("id1ot") == flat("i.d-i.O.T") == flat("idiot")
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    table, bias = np.random.default_rng(1).normal(size=1 << toxicity.SLOTS).astype(np.float32), -0.5
+    texts = ["one two three. four\n" * 40 + "w" * 90 + " end", "", "abc" * 50]
+    whole = toxicity.document_features(texts, table, bias)
+    monkeypatch.setattr(toxicity, "PART", 37)
+    assert toxicity.document_features(texts, table, bias) == pytest.approx(whole, abs=1e-5)
+    assert all("w" * 90 in "".join(p for p in toxicity._text_parts(texts)[0] if "w" in p) for _ in [0])
+
+
+@pytest.mark.parametrize("letters", ["абвгдежзик", "αβγδεζηθικ", "กขคงจฉชซณด"])
+def test_other_scripts_are_learned(spark, letters):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(300)]
+    bad = ["".join(rng.choices(letters[::-1], k=8)) for _ in range(3)]
+    docs = []
+    for k in range(800):
+        words = rng.choices(vocabulary, k=30)
+        if k % 4 == 0:
+            words[rng.randrange(30)] = rng.choice(bad)
+        docs.append((k, " ".join(words)))
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(800)], LABELS)
+    rows = toxicity.score_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), labels, landmarks=48).collect()
+    held = [r for r in rows if r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) / len(held) > 0.95
+
+
+def test_held_out_labels_by_language(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    known = docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    scored = toxicity.score_documents(known, labels).filter("held_out").select("doc_id", "predicted")
+    rows = scored.join(known, "doc_id").groupBy("lang").agg(
+        F.count_if(F.expr("predicted = 1")).alias("said"), F.sum("toxic").alias("toxic"), F.count_if(F.expr("predicted = 1 and toxic = 1")).alias("both")
+    ).collect()
+    print({r.lang: (r.both, r.said, r.toxic) for r in rows})
+    assert sum(r.both for r in rows) / sum(r.said for r in rows) > 0.9 and sum(r.both for r in rows) / sum(r.toxic for r in rows) > 0.85
+    assert all(r.both >= 0.6 * r.toxic for r in rows)
