@@ -29,7 +29,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import scratch
@@ -265,39 +265,49 @@ def _as_links(low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["a", "b"])
 
 
+def _salted_join(rows: DataFrame, by: str, spread: str, table: DataFrame, on: str, salts: int = 8) -> DataFrame:
+    """``rows`` joined to the one row of ``table`` with ``by`` = ``on``; a value's rows are dealt over ``salts`` by ``spread``."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    right = table.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return left.join(right, (F.col(by) == F.col(on)) & (F.col("_salt") == F.col("_other"))).drop("_salt", "_other")
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) of every node of the links (a, b); root is the smallest node of the class, which maps to itself.
 
-    Alternates large-star and small-star steps until neither changes a link; both keep what is connected. Minima are
-    aggregated before the exchange and joined back, so that a star's centre is one row on one side of a join that
-    adaptive execution can split on the other.
+    Alternates large-star and small-star steps until a round leaves the links as they were (told by their number and two
+    sums of 64-bit hashes); both keep what is connected. Minima are aggregated before the exchange and joined back over
+    salted keys, so that a star's centre, however large, is dealt over several tasks.
     """
+    spark = links.sparkSession
     edges = scratch.written(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links"
     )
+
+    def state(edges: DataFrame) -> tuple:
+        hashes = [F.sum(F.xxhash64(F.lit(k), "u", "v").cast("decimal(38,0)")) for k in (1, 2)]
+        return tuple(edges.agg(F.count(F.lit(1)), *hashes).first())
+
+    now = state(edges)
     for _ in range(rounds):
+        start = scratch.mark()
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = (
-            both.filter(F.col("v") > F.col("u"))
-            .join(least, F.col("u") == F.col("k"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter("u != v")
-            .distinct()
-        )
+        large = _salted_join(both.filter(F.col("v") > F.col("u")), "u", "v", least, "k")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large = scratch.written(large, "large-star")
         small_least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(small_least, F.col("u") == F.col("k"))
         small = (
-            joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _salted_join(large, "u", "v", small_least, "k").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small_least.select(F.col("k").alias("u"), F.col("m").alias("v")))
             .filter("u != v")
             .distinct()
-        )
-        small = scratch.written(small, "small-star")
-        changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        )
+        done = scratch.since(start)
+        edges = scratch.written(small, "small-star")
+        scratch.discard(spark, done)
+        before, now = now, state(edges)
+        if before == now:
             break
     else:
         raise RuntimeError(f"classes did not settle in {rounds} rounds")
@@ -325,7 +335,7 @@ def near_duplicate_groups(docs: DataFrame, *, width: int = 3, text: str = "text"
 
 #: Lanes of 64 bits in the signatures that :func:`similar_groups` compares.
 LANES = 4
-#: Nodes of a candidate class that are tested against each other, or against as many others, in one list.
+#: Nodes of a group that are tested against as many others in one list.
 BLOCK = 512
 
 
@@ -370,82 +380,147 @@ def most_bits(similarity: float, miss: float = 1e-9) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def _similar(similarity: float) -> Callable[..., tuple[np.ndarray, np.ndarray]]:
-    """Star links of the nodes at each key that may have the similarity, by signatures and sizes of the sets."""
-    most, most_of_few = most_bits(similarity)
-
-    def compare(key: np.ndarray, node: np.ndarray, size: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        words, sizes, many = np.stack(lanes, 1), size.astype(np.int64), np.diff(edges)
-
-        def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-            apart = sum(np.bitwise_count(x[..., lane] ^ y[..., lane]).astype(np.int16) for lane in range(len(lanes)))
-            less, more = np.minimum(n, m), np.maximum(n, m)
-            return (apart <= np.where(less < FEW, most_of_few, most)) & (less >= similarity * more - 1e-6)
-
-        two = edges[:-1][many == 2]
-        two = two[alike(words[two], words[two + 1], sizes[two], sizes[two + 1])]
-        low, high = [node[two]], [node[two + 1]]
-        for a, n in zip(edges[:-1][many > 2].tolist(), many[many > 2].tolist(), strict=True):
-            b = a + n
-            here, count = words[a:b], sizes[a:b]
-            fits = lambda rows: alike(here[rows, None], here[None], count[rows, None], count[None])  # noqa: B023, E731
-
-            # All that fit the first node are one class at once; only the others are compared with every node.
-            near = fits(np.zeros(1, np.int64))[0]
-            j = np.flatnonzero(near)
-            left, right = [np.zeros(len(j), np.int64)], [j]
-            rest = np.flatnonzero(~near)
-            for start in range(0, len(rest), 256):  # in blocks of rows, so that memory stays bounded
-                part = rest[start : start + 256]
-                i, j = np.nonzero(fits(part))
-                left.append(part[i])
-                right.append(j)
-            i, j = np.concatenate(left), np.concatenate(right)
-            i, j = i[i != j], j[i != j]
-            if len(i):
-                one, other = _forest(node[a:b], i, j)
-                low.append(one)
-                high.append(other)
-        return np.concatenate(low), np.concatenate(high)
-
-    return compare
-
-
-def _alike(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Star links that join the nodes of which the sets have at least this Jaccard similarity; every pair is tested."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, value, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = often[value] > 1
-    owner, column = owner[shared], (np.cumsum(often > 1) - 1)[value[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, [start, start + 4096])
-        held = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - start)), np.float32)
-        held[owner[a:b], column[a:b] - start] = 1
-        common += held @ held.T
-    union = sizes[:, None] + sizes[None, :] - common
-    i, j = np.nonzero(np.triu((common >= similarity * union - 1e-6) & (union > 0), 1))
-    return _forest(node, i, j)
-
-
-def _verified(marked: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+def _alike(words: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray, bits: tuple[int, int], similarity: float) -> np.ndarray:
+    """Which rows may have the similarity to which others, by signatures (a column for each lane) and sizes of the sets."""
+    apart = sum(np.bitwise_count(words[:, None, k] ^ others[None, :, k]).astype(np.int16) for k in range(words.shape[1]))
+    less, more = np.minimum(sizes[:, None], other_sizes[None]), np.maximum(sizes[:, None], other_sizes[None])
+    return (apart <= np.where(less < FEW, bits[1], bits[0])) & (less >= similarity * more - 1e-6)
+
+
+def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """The number of hashes that each set shares with each of the others."""
+    rows, columns = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (sets, others))
+    _, value = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    mine, theirs = value[: len(rows)], value[len(rows) :]
+    met = np.zeros(int(value.max()) + 1 if len(value) else 0, np.int8)
+    met[mine] |= 1
+    met[theirs] |= 2
+    number = np.cumsum(met == 3) - 1  # of the hashes on both sides
+    keep_a, keep_b = met[mine] == 3, met[theirs] == 3
+    rows, mine, columns, theirs = rows[keep_a], number[mine[keep_a]], columns[keep_b], number[theirs[keep_b]]
+    a, b = np.argsort(mine, kind="stable"), np.argsort(theirs, kind="stable")
+    rows, mine, columns, theirs = rows[a], mine[a], columns[b], theirs[b]
+    out = np.zeros((len(sets), len(others)), np.float32)
+    for start in range(0, int((met == 3).sum()), 4096):
+        pair = []
+        for at, which, n in ((rows, mine, len(sets)), (columns, theirs, len(others))):
+            x, y = np.searchsorted(which, [start, start + 4096])
+            held = np.zeros((n, 4096), np.float32)
+            held[at[x:y], which[x:y] - start] = 1
+            pair.append(held)
+        out += pair[0] @ pair[1].T
+    return out
+
+
+def _spanning(nodes: np.ndarray, others: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the matrix ``linked`` of nodes and others joins: fewer than there are nodes and others."""
+    members, at = np.unique(np.concatenate([nodes, others]), return_inverse=True)
+    i, j = np.nonzero(linked)
+    return _forest(members, at[i], at[len(nodes) + j])
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """Lists of rows sorted by (group, row block, column block, side): each one's rows of side 0 and of side 1."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        side = batch.column(3).to_numpy()
+        for a, b in zip([0, *edges.tolist()], edges.tolist()):
+            cut = a + int(np.searchsorted(side[a:b], 1))
+            if a < cut < b:
+                yield batch.slice(a, cut - a), batch.slice(cut, b - cut)
+        held = batch.slice(edges[-1] if len(edges) else 0)
+    if held is not None:
+        cut = int(np.searchsorted(held.column(3).to_numpy(), 1))
+        if 0 < cut < held.num_rows:
+            yield held.slice(0, cut), held.slice(cut)
+
+
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (group, node, rest, and ``columns``) as lists for :func:`_lists`, which hold each pair of a rest row and any row of its group.
+
+    A group's rows are dealt into blocks of some BLOCK nodes, and so are its rest rows; each pair of such blocks is a
+    list, so no task holds a group.
+    """
+    sizes = rows.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n_all"), F.count_if("rest").alias("n_rest")).filter("n_rest > 0")
+    known = _salted_join(rows, "group", "node", sizes, "g")
+    blocks = [F.ceil(F.col(n) / F.lit(BLOCK)).cast("bigint") for n in ("n_rest", "n_all")]
+    mine = [F.pmod(F.xxhash64(F.lit(k), "node"), n) for k, n in enumerate(blocks)]
+    every = [F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)) for n in blocks]
+    sides = [
+        known.filter("rest").select("group", mine[0].alias("i"), every[1].alias("j"), F.lit(0).alias("side"), "node", *columns),
+        known.select("group", every[0].alias("i"), mine[1].alias("j"), F.lit(1).alias("side"), "node", *columns),
+    ]
+    return sides[0].union(sides[1]).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side")
+
+
+_SIGNATURE = ["size", *(f"s{k}" for k in range(LANES))]
+
+
+def _signed_nodes(marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """n and the signature of each of the nodes (a column node)."""
+    known = nodes.select("node").distinct().withColumnRenamed("node", "n")
+    found = marked.select("node", *_SIGNATURE).join(known, F.col("node") == F.col("n"), "left_semi")
+    return found.groupBy(F.col("node").alias("n")).agg(*(F.first(c).alias(c) for c in _SIGNATURE))
+
+
+def _candidate_links(marked: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all nodes which meet at a table's word and have signatures that allow the similarity.
+
+    At each word its smallest node is the pivot, and the others are tested against it. Nodes that differ from their
+    pivot are tested against all nodes at the word, in blocks. Words and nodes alone are exchanged for that;
+    signatures only of nodes that meet others.
+    """
+    bits = most_bits(similarity)
+    words = marked.select(F.explode("words").alias("key"), "node")
+    pivots = words.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot != most")
+    met = _salted_join(words, "key", "node", pivots.select(F.col("key").alias("k"), "pivot"), "k").select("key", "pivot", "node")
+    met = scratch.written(met.filter("node != pivot").distinct(), "met")
+    pairs = met.select("pivot", "node").distinct()
+    signed = scratch.written(_signed_nodes(marked, met.select("node").union(met.select("pivot"))), "met-signatures")
+    mine = [F.col(c).alias(f"p_{c}") for c in _SIGNATURE]
+    tested = _salted_join(pairs, "pivot", "node", signed.select(F.col("n").alias("p"), *mine), "p").drop("p")
+    tested = tested.join(signed, F.col("node") == F.col("n"))
+    apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"p_s{k}"))) for k in range(LANES)), F.lit(0))
+    less, more = F.least("size", "p_size"), F.greatest("size", "p_size")
+    close = (apart <= F.when(less < FEW, bits[1]).otherwise(bits[0])) & (less >= F.lit(similarity) * more - 1e-6)
+    tested = scratch.written(tested.select("pivot", "node", close.alias("close")), "pivot-tests")
+    far = tested.filter("not close").select(F.col("pivot").alias("f_pivot"), F.col("node").alias("f_node"))
+    here = (F.col("pivot") == F.col("f_pivot")) & (F.col("node") == F.col("f_node"))
+    rows = met.join(far, here, "left").select(F.col("key").alias("group"), "node", F.col("f_node").isNotNull().alias("rest"))
+    # Words with a far node only; their close nodes are kept as partners.
+    rows = scratch.written(rows, "met-rest")
+    lists = _dealt(rows, []).select("group", "i", "j", "side", "node")
+    lists = lists.join(signed, F.col("node") == F.col("n")).select("group", "i", "j", "side", "node", *_SIGNATURE)
+    lists = lists.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sides in _lists(batches):
+            nodes, sizes, signs = zip(*((
+                x.column(4).to_numpy(), x.column(5).to_numpy(), np.stack([x.column(6 + k).to_numpy() for k in range(LANES)], 1).view(np.uint64)
+            ) for x in sides), strict=True)
+            linked = _alike(signs[0], sizes[0], signs[1], sizes[1], bits, similarity) & (nodes[0][:, None] != nodes[1])
+            if linked.any():
+                yield _as_links(*_spanning(*nodes, linked))
+
+    found = lists.mapInArrow(compare, "a bigint, b bigint")
+    return found.union(tested.filter("close").select("pivot", "node")).distinct()
+
+
+def _verified(marked: DataFrame, links: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (a, b) that join the nodes of exact Jaccard ``similarity`` within each candidate class (node, root).
 
-    Every pair of a class is tested, by whole shingle sets. A class of more than BLOCK nodes is dealt into blocks, and
-    each pair of blocks is a list of its own, so that no task holds a class.
+    Whole shingle sets decide. A class's node with most candidate links is its pivot, and all others are tested against
+    it. Those that are similar to it are joined by that; the others are tested against every node of the class, in blocks.
     """
-    sized = classes.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("root", "r")
-    members = classes.join(sized, F.col("root") == F.col("r")).select(F.col("node").alias("m"), "root", "size")
-    texts = (
-        marked.select("node", "text")
-        .join(members, F.col("node") == F.col("m"))
-        .groupBy("node", "root", "size")
-        .agg(F.first("text").alias("text"))
-    )
+    degrees = links.select(F.col("a").alias("d")).union(links.select(F.col("b").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("degree"))
+    members = classes.join(degrees, F.col("node") == F.col("d")).select(F.col("node").alias("m"), "root", "degree")
+    texts = marked.select("node", "text").join(members, F.col("node") == F.col("m")).groupBy("node", "root", "degree").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -454,51 +529,45 @@ def _verified(marked: DataFrame, classes: DataFrame, width: int, similarity: flo
                 ends = counts.cumsum().tolist()
                 held = [hashes[b - n : b].tobytes() for b, n in zip(ends, counts.tolist(), strict=True)]
                 columns = [batch.column(k).slice(first, len(part)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(held, pa.binary())], names=["node", "root", "size", "held"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(held, pa.binary())], names=["node", "root", "degree", "held"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, nodes, sets = None, [], []
-
-        def links() -> pa.RecordBatch:
-            return _as_links(*_alike(np.array(nodes, np.int64).view(np.uint64), sets, similarity))
+    sets = texts.select("node", "root", "degree", "text").mapInArrow(cut, "node bigint, root bigint, degree bigint, held binary")
+    sets = scratch.written(sets, "class-sets")
+    pivots = sets.groupBy("root").agg(F.max(F.struct("degree", "node")).alias("best")).select(F.col("root").alias("r"), F.col("best.node").alias("pivot"))
+    pivots = pivots.join(sets.select(F.col("node").alias("n"), F.col("held").alias("p_held")), F.col("pivot") == F.col("n")).select("r", "pivot", "p_held")
 
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for root, low, high, node, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, low, high) != current:
-                    if len(nodes) > 1:
-                        yield links()
-                    current, nodes, sets = (root, low, high), [], []
-                nodes.append(node)
-                sets.append(np.frombuffer(held, np.uint64))
-        if len(nodes) > 1:
-            yield links()
-
-    cutting = texts.select("node", "root", "size", "text").mapInArrow(cut, "node bigint, root bigint, size bigint, held binary")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK))
-    return (
-        cutting.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-        .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "held")
-        .repartition("root", "low", "high")
-        .sortWithinPartitions("root", "low", "high")
-        .mapInArrow(compare, "a bigint, b bigint")
-        .distinct()
-    )
+            close = []
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                close.append(common >= similarity * (len(x) + len(y) - common) - 1e-6)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(close, pa.bool_())], names=["node", "root", "pivot", "close"])
+
+    beside = _salted_join(sets, "root", "node", pivots, "r").filter("node != pivot").select("node", "root", "pivot", "held", "p_held")
+    tested = scratch.written(beside.mapInArrow(test, "node bigint, root bigint, pivot bigint, close boolean"), "class-tests")
+    flags = tested.select(F.col("node").alias("t"), F.col("root").alias("group"), (~F.col("close")).alias("rest"))
+    rows = flags.join(sets.select("node", "held"), F.col("t") == F.col("node")).select("group", "node", "rest", "held")
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sides in _lists(batches):
+            nodes = [x.column(4).to_numpy() for x in sides]
+            sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in x.column(5)] for x in sides]
+            sizes = [np.array([len(x) for x in part], np.int64) for part in sets]
+            common = _common(*sets)
+            union = sizes[0][:, None] + sizes[1][None] - common
+            linked = (common >= similarity * union - 1e-6) & (union > 0) & (nodes[0][:, None] != nodes[1])
+            if linked.any():
+                yield _as_links(*_spanning(*nodes, linked))
 
-def similar_groups(
-    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id"
-) -> DataFrame:
-    """One row per document: doc_id, component_id (smallest doc_id reachable over similar texts).
+    found = _dealt(rows, ["held"]).mapInArrow(compare, "a bigint, b bigint")
+    return found.union(tested.filter("close").select("pivot", "node")).distinct()
 
-    For similarities at which fingerprints of 64 bits differ in far more than two: texts are similar if the sets of
-    their shingles have the Jaccard ``similarity``. Sets meet in TABLES tables, at words of ROWS least hashes each, and
-    signatures of 256 bits over the sets are compared there; both only find candidates, and lose a pair of just that
-    similarity with a chance of some 1e-9 each, at any corpus size (for 0.8 and above). Within a class of
-    candidates every pair is tested by its whole sets, and only those that pass are linked. Equal sets (by a 64-bit
-    hash) are one node.
-    """
-    names = [f"s{k}" for k in range(LANES)]
+
+def _similar_classes(docs: DataFrame, width: int, similarity: float, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, node) of every document, and (n, root): the class of every node that is linked to another."""
+    names = _SIGNATURE[1:]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -507,40 +576,59 @@ def similar_groups(
                 found = _signed(hashes, counts, LANES).view(np.int64)
                 ends = counts.cumsum().tolist()
                 node = [xxhash.xxh64_intdigest(hashes[b - n : b].tobytes(), SEED) for b, n in zip(ends, counts.tolist(), strict=True)]
-                columns = [batch.column(0).slice(first, len(texts)), pa.array(np.array(node, np.uint64).view(np.int64))]
-                columns += [pa.array(counts.astype(np.int64)), *(pa.array(found[:, k]) for k in range(LANES))]
+                columns = [batch.column(k).slice(first, len(texts)) for k in range(2)]
+                columns += [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(counts.astype(np.int64))]
+                columns += [pa.array(found[:, k]) for k in range(LANES)]
                 words = table_words(hashes, counts).view(np.int64).ravel()
                 lists = pa.ListArray.from_arrays(np.arange(0, len(words) + 1, TABLES, dtype=np.int32), words)
-                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(texts)], names=["doc_id", "node", "size", *names, "words", "text"])
+                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(texts)], names=["doc_id", "tag", "node", *_SIGNATURE, "words", "text"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = ", ".join(f"{n} bigint" for n in ("doc_id", "node", "size", *names))
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_tag(F.col(text)).alias("tag"), F.col(text).cast("string").alias("text"))
+    schema = ", ".join(f"{n} bigint" for n in ("doc_id", "tag", "node", "size", *names))
     marked = scratch.written(rows.mapInArrow(mark, f"{schema}, words array<bigint>, text string"), "signatures")
-    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in ("size", *names, "words")))
-    distinct = scratch.written(distinct, "distinct-signatures")
-    links = (
-        distinct.select(F.explode("words").alias("key"), "node", "size", *names)
-        .repartition("key")
-        .sortWithinPartitions("key", "node")
-        .mapInArrow(lambda batches: _by_anchor(batches, _similar(similarity)), "a bigint, b bigint")
-        .distinct()
-    )
+    links = scratch.written(_candidate_links(marked, similarity), "candidate-links")
     candidates = scratch.written(components(links), "candidate-classes")
-    verified = components(_verified(marked, candidates, width, similarity)).withColumnsRenamed({"node": "n"})
-    named = distinct.join(verified, F.col("node") == F.col("n"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    named = scratch.written(named, "similar-classes")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    by_node = named.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id")
-    return marked.join(by_node, F.col("node") == F.col("n")).select("doc_id", "component_id")
+    verified = components(_verified(marked, links, candidates, width, similarity)).withColumnRenamed("node", "n")
+    return marked.select("doc_id", "tag", "node"), scratch.written(verified, "similar-classes")
+
+
+def text_tag(text: Column) -> Column:
+    """A hash that tells apart texts of one doc_id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def similar_groups(
+    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id"
+) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id reachable over similar texts).
+
+    For similarities at which fingerprints of 64 bits differ in far more than two: texts are similar if the sets of
+    their shingles have the Jaccard ``similarity``. Sets meet in TABLES tables, at words of ROWS least hashes each, and
+    signatures of 256 bits over the sets are compared there; both only find candidates, and lose a pair of just that
+    similarity with a chance of some 1e-9 each, at any corpus size (for 0.8 and above). Within a class of
+    candidates pairs are tested by their whole sets, and only those that pass are linked. Equal sets (by a 64-bit
+    hash) are one node. A doc_id that repeats with several texts takes part with each.
+    """
+    marked, classes = _similar_classes(docs, width, similarity, text, key)
+    named = marked.join(classes, F.col("node") == F.col("n"), "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    named = scratch.written(named, "similar-documents")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id")).select(F.col("root").alias("r"), "component_id")
+    return _salted_join(named, "root", "doc_id", least, "r").select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents, with all their columns, without those that are similar to one of smaller doc_id that stays.
+    """The documents, with all their columns, without those that are similar to one that stays, over a chain of similar texts.
 
-    Of each class the smallest doc_id stays; rows without doc_id stay.
+    Of each class the document of smallest doc_id stays (of several texts of that doc_id, one); rows are dropped by
+    doc_id and text, so a doc_id that repeats with other texts loses none of those. Rows that repeat a doc_id and a set
+    of shingles stay or go together; rows without doc_id stay.
     """
-    groups = similar_groups(docs, width=width, similarity=similarity, text=text, key=key)
-    name = unused(docs.columns, "_dropped")
-    dropped = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
-    dropped = scratch.written(dropped, "similar-dropped")
-    return docs.join(dropped, docs[key] == dropped[name], "left_anti")
+    marked, classes = _similar_classes(docs, width, similarity, text, key)
+    named = marked.filter("doc_id IS NOT NULL").join(classes, F.col("node") == F.col("n"), "left")
+    named = scratch.written(named.select("doc_id", "tag", "node", F.coalesce("root", "node").alias("root")), "similar-documents")
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("stays")).select(F.col("root").alias("r"), "stays")
+    gone = _salted_join(named, "root", "tag", least, "r").filter(F.struct("doc_id", "node") != F.col("stays"))
+    names = [unused(docs.columns, "_dropped"), unused(docs.columns, "_tag")]
+    gone = scratch.written(gone.select(F.col("doc_id").alias(names[0]), F.col("tag").alias(names[1])).distinct(), "similar-dropped")
+    same = (docs[key] == gone[names[0]]) & (text_tag(docs[text]) == gone[names[1]])
+    return docs.join(gone, same, "left_anti")

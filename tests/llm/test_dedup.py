@@ -219,6 +219,58 @@ def test_pairs_at_just_the_similarity_are_all_linked(spark):
     assert len(set(got.values())) == 1500
 
 
+def test_a_shared_id_loses_no_unlike_text(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(2000)]
+    a, b, c = (rng.choices(words, k=120) for _ in range(3))
+    other = lambda x: " ".join([*x[:-1], "changed"])
+    rows = [(3, other(a)), (5, " ".join(a)), (5, " ".join(b)), (9, other(b)), (5, " ".join(c)), (5, other(c)), (None, " ".join(c))]
+    kept = {(r.doc_id, r.text) for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {rows[0], rows[2], rows[6]} <= kept and rows[1] not in kept and rows[3] not in kept
+    assert len(kept & {rows[4], rows[5]}) == 1 and len(kept) == 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_common_hashes(seed):
+    rng = np.random.default_rng(seed)
+    left, right = ([np.unique(rng.integers(0, 9000, rng.integers(0, 6000), dtype=np.uint64)) for _ in range(9)] for _ in range(2))
+    want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert simhash._common(left, right).tolist() == want
+
+
+def test_a_large_family_is_linked_in_bounded_memory(spark):
+    """6,000 variants of one text, most of them similar to the pivot, some only to each other."""
+    rng = random.Random(22)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(6000):
+        words = list(base)
+        for at in rng.sample(range(150), 2):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    rows += [(10_000 + k, f"nothing like the others {rng.random()} {rng.random()} {rng.random()} {rng.random()}") for k in range(50)]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("component_id").count().collect()
+    assert sorted((r.component_id, r["count"]) for r in got) == [(0, 6000), *((10_000 + k, 1) for k in range(50))]
+
+
+def test_recall_and_precision_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingle_set((r.text or "").lower()) for r in docs.collect()}
+    by_shingle = {}
+    for k, x in sets.items():
+        for shingle in x:
+            by_shingle.setdefault(shingle, []).append(k)
+    shared = {}
+    for owners in by_shingle.values():
+        for i, a in enumerate(owners):
+            for b in owners[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    links = [(a, b) for (a, b), n in shared.items() if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+    assert len(links) > 20
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == roots(links, sets)
+
+
 def brute_repeats(texts, length):
     seen, out = set(), []
     for raw in texts:
