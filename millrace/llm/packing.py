@@ -11,8 +11,8 @@ sequences; where they agree the incumbent is optimal. Otherwise bin completion s
 enumerate the undominated fillings of the room beside it, least waste first, and branch on them; a branch is cut
 where the sequences so far and the bound of the rest reach the incumbent, and a filling is cut where its waste is
 more than an improvement could afford. While more than ``exact_pieces`` pieces are left, the best filling is taken with as many copies as the
-counts allow, so that branching is left for the last pieces. ``nodes`` bounds the search; it never drops a piece, as the
-incumbent packs all of them.
+counts allow, so that branching is left for the last pieces. ``nodes`` bounds the search, and ``head_nodes`` the fillings looked at for each pattern before the last pieces;
+neither drops a piece, as the incumbent packs all of them.
 
 Rows: null and empty texts are a piece of the end id alone; repeated rows and null doc_ids are packed like others;
 an empty table gives an empty result; extra columns are ignored.
@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 from millrace.llm import scratch
 from millrace.llm.tokens import encoder, text_slices
 
+#: Rows of task, length and first rank (24 bytes each) up to which they are broadcast, so that no ids are exchanged.
+BROADCAST_ROWS = 1_000_000
+
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), lengths falling
 Counts = dict[int, int]
 
@@ -143,7 +146,7 @@ def _around(size: int, filling: Pattern) -> Pattern:
     return tuple(sorted(total.items(), reverse=True))
 
 
-def solve(counts: Counts, capacity: int, *, exact_pieces: int = 60, nodes: int = 200_000) -> list[tuple[Pattern, int]]:
+def solve(counts: Counts, capacity: int, *, exact_pieces: int = 60, nodes: int = 200_000, head_nodes: int = 300) -> list[tuple[Pattern, int]]:
     """Patterns and copies that pack every piece; see the module's text."""
     counts = {int(s): int(n) for s, n in counts.items() if n}
     incumbent = best_fit(counts, capacity)
@@ -155,7 +158,7 @@ def solve(counts: Counts, capacity: int, *, exact_pieces: int = 60, nodes: int =
     while sum(rest.values()) > exact_pieces:
         size = max(rest)
         one = _take(rest, ((size, 1),), 1)
-        options = fillings(one, capacity - size, capacity, [300])
+        options = fillings(one, capacity - size, capacity, [head_nodes])
         pattern = _around(size, options[0][1] if options else ())
         copies = min(rest[s] // n for s, n in pattern)
         head.append((pattern, copies))
@@ -250,7 +253,7 @@ def pack_documents(
     pieces = scratch.written(
         cut_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, text=text, key=key, with_ids=with_ids), "pieces"
     )
-    by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
+    by_task = scratch.written(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     # At most one row per length reaches the driver.
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     columns = "_size bigint, _from bigint, _to bigint, _each bigint, _sequence bigint, _offset bigint"
@@ -259,6 +262,8 @@ def pack_documents(
     firsts = by_task.select(
         F.col("task").alias("_task"), F.col("length").alias("_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first")
     )
+    if by_task.count() <= BROADCAST_ROWS:  # beyond, pieces are exchanged by task and length
+        firsts = F.broadcast(firsts)
     joined = pieces.join(firsts, (F.col("task") == F.col("_task")) & (F.col("length") == F.col("_length")))
     ranked = joined.withColumn("_rank", F.col("_first") + F.col("nth"))
     # A few rows for each of at most ``capacity`` lengths, at any corpus size.

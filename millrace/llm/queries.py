@@ -8,14 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, line_dedup, packing, pieces, quality, simhash, suffix_dedup, token_files, toxicity, urls
+from millrace.llm import exact_dedup, line_dedup, packing, pieces, quality, scratch, simhash, suffix_dedup, token_files, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[run.__name__] = run
+    def tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+        start = scratch.mark()
+        result = run(spark, sf_dir)
+        scratch.discard_unread(result, start)
+        return result
+
+    QUERIES[run.__name__] = tidy
     return run
 
 

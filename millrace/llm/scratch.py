@@ -7,6 +7,8 @@ blocks of an executor. The folder is the session's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _made: list[str] = []
+_tables: set[str] = set()
 _local: list[str] = []
+_sessions: dict[int, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,10 +40,20 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the shared folder; nothing is created yet."""
     path = f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    if not _sessions:
+        atexit.register(_discard_all)
+    _sessions[id(spark)] = spark
     _made.append(path)
     return path
 
 
+def _discard_all() -> None:
+    """Delete what is left when the driver ends; a session that is gone by then keeps its own."""
+    for spark in _sessions.values():
+        with contextlib.suppress(Exception):
+            discard(spark, list(_made))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 
@@ -47,6 +61,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
+    _tables.add(path)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -76,4 +91,23 @@ def discard(spark: SparkSession, folders: list[str]) -> None:
     """Delete folders that no DataFrame will read again."""
     for path in folders:
         remove(spark, path)
+        if path in _made:
+            _made.remove(path)
+        _tables.discard(path)
+
+
+def discard_unread(result: DataFrame, start: int) -> None:
+    """Delete the tables written since :func:`mark` gave ``start`` that ``result`` does not read."""
+    leaves = result._jdf.queryExecution().analyzed().collectLeaves()
+    read = " ".join(str(leaves.apply(k).toString()) + _roots(leaves.apply(k)) for k in range(leaves.size()))
+    named = set(re.findall(r"[0-9a-f]{32}", read))
+    discard(result.sparkSession, [path for path in since(start) if path in _tables and path[-32:] not in named])
+
+
+def _roots(leaf) -> str:
+    """The folders that a leaf of a plan reads, if it reads files."""
+    try:
+        return leaf.relation().location().rootPaths().mkString(" ")
+    except Exception:  # a leaf of another kind
+        return ""
 

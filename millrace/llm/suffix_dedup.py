@@ -19,7 +19,13 @@ earlier in the same one. Strings never cross documents and are judged on the inp
    the right; those that agree to the left too (64-bit hashes of the bytes within the interval) are one class. All but
    the earliest window of a class are repeats.
 
-A task holds one bucket's front-coded runs; a suffix shared by any number of documents is one row for each run.
+A task holds one bucket's front-coded runs; a suffix shared by any number of documents is one row for each run. There is
+a bucket for some ``BUCKET_ROWS`` anchors, so buckets don't grow with the corpus, and they are dealt to tasks evenly.
+
+Hot grams. All suffixes of one gram are in one bucket. Grams with over ``HOT_ROWS`` anchors and a millionth of all (a
+phrase that very many documents share, each in other surroundings; fewer than a million by that) therefore go
+another way: each window around such an anchor is known by two 64-bit hashes of its bytes, equal windows fold within
+a task's slice of texts, and what is left is aggregated by hash; all but the earliest window of a class are repeats.
 
 Rows: null text counts as empty; rows that repeat a doc_id and text are judged as one document and each is returned;
 rows that share a doc_id with other texts are ordered by text hash; a null doc_id comes before all others; an empty
@@ -35,7 +41,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -45,6 +51,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = 24
 _PLACE_MASK = np.uint64((1 << _PLACE_BITS) - 1)
 _BLOCK = 1 << 20  # bytes that are hashed at once
+BUCKET_ROWS = 100_000
+HOT_ROWS = 20_000
 
 
 def _byte_hashes() -> np.ndarray:
@@ -419,12 +427,79 @@ def _candidates(documents: DataFrame, length: int, gram: int) -> DataFrame:
     return dealt.mapInArrow(repeated, "h bigint, _key bigint, at bigint, _twin bigint")
 
 
-def _runs(documents: DataFrame, candidates: DataFrame, form: _Form, buckets: int, run_rows: int) -> DataFrame:
-    """(bucket, blob) rows: front-coded runs, and with bucket -1 - x spans that are settled already."""
+def _with_anchors(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """_key, _twin, _text and found, a list of (h, at), of the documents with candidates."""
     grouped = candidates.groupBy(F.col("_key").alias("_k"), F.col("_twin").alias("_t")).agg(F.collect_list(F.struct("h", "at")).alias("found"))
     texts = documents.select("_key", "_twin", "_text")
     joined = texts.join(grouped, (F.col("_key") == F.col("_k")) & (F.col("_twin") == F.col("_t")))
-    joined = joined.select("_key", "_twin", "_text", "found")
+    return joined.select("_key", "_twin", "_text", "found")
+
+
+def _anchored_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Slices of the rows of :func:`_with_anchors`: joined bytes, and of each anchor its text's begin, owner, hash and at."""
+    for batch in batches:
+        owners = np.stack((_numpy(batch.column(0)), _numpy(batch.column(1))), 1)
+        texts, found = batch.column(2).cast(pa.binary()), batch.column(3)
+        for a, b in _slices(texts):
+            raw = texts.slice(a, b - a).to_pylist()
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            begins = np.cumsum([0, *map(len, raw[:-1])])
+            lists = found.slice(a, b - a)
+            entries = lists.flatten()
+            number = np.repeat(np.arange(b - a), pa.compute.list_value_length(lists).to_numpy())
+            yield data, begins[number], owners[a:b][number], _numpy(entries.field(0)).view(np.uint64), _numpy(entries.field(1))
+
+
+def _hot_spans(documents: DataFrame, candidates: DataFrame, length: int, salts: int = 16) -> DataFrame:
+    """(_k, _t, first, end): repeated windows around anchors of hot grams."""
+    names = ["w1", "w2", "_key", "_twin", "first", "end", "open"]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, begins, owners, _, at in _anchored_slices(batches):
+            place, high, low = unpack_place(at)
+            many = high - low + 1
+            row = np.repeat(np.arange(len(at)), many)
+            offset = high[row] - (np.arange(len(row)) - np.repeat(many.cumsum() - many, many))
+            start = place[row] - offset
+            key, twin = owners[row].T
+            where = begins[row] + start
+            one, two = (gram_hashes(x, length)[where] for x in (data, data ^ np.uint8(255)))
+            order = np.lexsort((start, twin, key, two, one))
+            one, two, key, twin, start = (x[order] for x in (one, two, key, twin, start))
+            fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+            columns = (one.view(np.int64), two.view(np.int64), key, twin, start, start + length)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(fresh)], names=names)
+
+    schema = "w1 bigint, w2 bigint, _key bigint, _twin bigint, first bigint, end bigint, open boolean"
+    found = scratch.written(_with_anchors(documents, candidates).mapInArrow(windows, schema), "hot-windows")
+    spans = [F.col("_key").alias("_k"), F.col("_twin").alias("_t"), "first", "end"]
+    place = F.struct("_key", "_twin", "first")
+    kept = found.filter("open").withColumn("_salt", F.pmod(F.xxhash64("_key", "_twin"), F.lit(salts)).cast("int"))
+    classes = kept.groupBy(F.col("w1").alias("_w1"), F.col("w2").alias("_w2")).agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_other")
+    classes = classes.filter(F.col("least") != F.col("most")).select("_w1", "_w2", "least", every)
+    same = (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")) & (F.col("_salt") == F.col("_other"))
+    later = kept.join(classes, same).filter(place > F.col("least"))
+    return found.filter("not open").select(*spans).union(later.select(*spans))
+
+
+def _even_keys(spark: SparkSession, partitions: int) -> list[int]:
+    """For each partition a number that Spark's hash partitioning sends there."""
+    wanted = 32 * partitions
+    while True:
+        numbers = spark.range(wanted).select("id", F.pmod(F.hash("id"), F.lit(partitions)).alias("p"))
+        found = {r.p: r.id for r in numbers.groupBy("p").agg(F.min("id").alias("id")).collect()}
+        if len(found) == partitions:
+            return [found[p] for p in range(partitions)]
+        wanted *= 4
+
+
+def _runs(documents: DataFrame, candidates: DataFrame, form: _Form, buckets: int, run_rows: int, keys: list[int]) -> DataFrame:
+    """(bucket, lane, blob) rows: front-coded runs, and with bucket -1 - x spans that are settled already.
+
+    A lane is one of ``keys``, and sends its buckets to one task.
+    """
+    joined = _with_anchors(documents, candidates)
 
     def sort(rows: np.ndarray, owner: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
         words = rows.view(">u8").astype(np.uint64)
@@ -451,34 +526,24 @@ def _runs(documents: DataFrame, candidates: DataFrame, form: _Form, buckets: int
         def flush() -> pa.RecordBatch:
             made = list(sort(*(np.concatenate(x) for x in zip(*parts, strict=True))))
             parts.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], names=["bucket", "blob"]
-            )
-
-        for batch in batches:
-            owners = np.stack((_numpy(batch.column(0)), _numpy(batch.column(1))), 1)
-            texts, found = batch.column(2).cast(pa.binary()), batch.column(3)
-            for a, b in _slices(texts):
-                raw = texts.slice(a, b - a).to_pylist()
-                data = np.frombuffer(b"".join(raw), np.uint8)
-                begins = np.cumsum([0, *map(len, raw[:-1])])
-                lists = found.slice(a, b - a)
-                entries = lists.flatten()
-                number = np.repeat(np.arange(b - a), pa.compute.list_value_length(lists).to_numpy())
-                hashes, at = _numpy(entries.field(0)).view(np.uint64), _numpy(entries.field(1))
-                for k in range(0, len(at), run_rows):
-                    part = slice(k, k + run_rows)
-                    place, high, low = unpack_place(at[part])
-                    rows = form.suffixes(data, begins[number[part]], place, high, low, hashes[part])
-                    parts.append((rows, owners[a:b][number[part]], at[part]))
-                    held += len(rows)
-                    if held >= run_rows:
-                        yield flush()
-                        held = 0
+            lanes = [keys[b * len(keys) // buckets if b >= 0 else b % len(keys)] for b, _ in made]
+            columns = [pa.array([b for b, _ in made], pa.int64()), pa.array(lanes, pa.int64()), pa.array([x for _, x in made], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "lane", "blob"])
+
+        for data, begins, owners, hashes, at in _anchored_slices(batches):
+            for k in range(0, len(at), run_rows):
+                part = slice(k, k + run_rows)
+                place, high, low = unpack_place(at[part])
+                rows = form.suffixes(data, begins[part], place, high, low, hashes[part])
+                parts.append((rows, owners[part], at[part]))
+                held += len(rows)
+                if held >= run_rows:
+                    yield flush()
+                    held = 0
         if held:
             yield flush()
 
-    return joined.mapInArrow(run, "bucket bigint, blob binary")
+    return joined.mapInArrow(run, "bucket bigint, lane bigint, blob binary")
 
 
 def _bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
@@ -486,7 +551,7 @@ def _bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
     return (np.ascontiguousarray(rows[:, :4]).view(">u4").ravel().astype(np.int64) * buckets) >> 32
 
 
-def _merged(runs: DataFrame, form: _Form) -> DataFrame:
+def _merged(runs: DataFrame, form: _Form, partitions: int) -> DataFrame:
     """(_k, _t, first, end): spans to remove, from merged buckets and those settled before."""
 
     def out(owner: np.ndarray, twin: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -512,16 +577,25 @@ def _merged(runs: DataFrame, form: _Form) -> DataFrame:
         if blobs:
             yield merge(blobs)
 
-    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "_k bigint, _t bigint, first bigint, end bigint")
+    dealt = runs.repartition(partitions, "lane").sortWithinPartitions("bucket").select("bucket", "blob")
+    return dealt.mapInArrow(run, "_k bigint, _t bigint, first bigint, end bigint")
 
 
-def repeated_spans(documents: DataFrame, length: int, gram: int, run_rows: int = 50_000) -> DataFrame:
+def repeated_spans(documents: DataFrame, length: int, gram: int, run_rows: int = 100_000) -> DataFrame:
     """(_k, _t, first, end): spans of repeated windows, which may overlap, written to the shared folder."""
-    form = _Form(length, gram)
-    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    form, spark = _Form(length, gram), documents.sparkSession
     candidates = scratch.written(_candidates(documents, length, gram), "repeated-grams")
-    runs = _runs(documents, candidates, form, 4 * partitions, run_rows)
-    return scratch.written(_merged(runs, form), "repeated-spans")
+    count = candidates.count()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // (4 * BUCKET_ROWS))
+    buckets = max(4 * partitions, count // BUCKET_ROWS)
+    often = candidates.groupBy(F.col("h").alias("_hot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(HOT_ROWS, count // 1_000_000))
+    often = scratch.written(often.select("_hot"), "hot-grams")
+    hot = not often.isEmpty()
+    plain = candidates.join(F.broadcast(often), F.col("h") == F.col("_hot"), "left_anti") if hot else candidates  # under a million
+    spans = _merged(_runs(documents, plain, form, buckets, run_rows, _even_keys(spark, partitions)), form, partitions)
+    if hot:
+        spans = spans.union(_hot_spans(documents, candidates.join(F.broadcast(often), F.col("h") == F.col("_hot"), "left_semi"), length))
+    return scratch.written(spans, "repeated-spans")
 
 
 def _cut(raw: bytes, first: Sequence[int], end: Sequence[int]) -> tuple[bytes, int, int]:

@@ -295,6 +295,30 @@ def test_repeated_passages(odd_docs, odd_rows):
         assert row.kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("hot_rows", [0, 6])
+def test_passages_of_hot_grams(odd_docs, odd_rows, monkeypatch, hot_rows):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot_rows)
+    test_repeated_passages(odd_docs, odd_rows)
+
+
+def test_a_passage_of_very_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 200)
+    rng = random.Random(31)
+    word = lambda: f"{rng.random()}"
+    passage = " ".join(word() for _ in range(12))
+    texts = [" ".join([*(word() for _ in range(rng.randint(0, 9))), passage, *(word() for _ in range(rng.randint(0, 9)))]) for _ in range(400)]
+    want = [len(t) - int(g.sum()) for t, g in zip(texts, brute_repeats([t.encode() for t in texts], 100), strict=True)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [got[k] for k in range(400)] == want
+
+
+def test_lanes_reach_one_task_each(spark):
+    keys = suffix_dedup._even_keys(spark, 37)
+    rows = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(37, "k").select(F.spark_partition_id().alias("p"), "k").collect()
+    assert sorted((r.p, r.k) for r in rows) == list(enumerate(keys))
+
+
 def test_stripped_texts_keep_other_columns(odd_docs, odd_rows):
     gone = brute_repeats([(t or "").encode() for _, t, *_ in odd_rows], 100)
     cut = suffix_dedup.strip_repeats(odd_docs)
