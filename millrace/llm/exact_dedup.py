@@ -101,8 +101,8 @@ def drop_exact_duplicates(docs: DataFrame, *, text: str = "text", key: str = "do
     Rows are dropped by doc_id and text, so a doc_id that repeats with several texts loses those alone that have a winner elsewhere.
     """
     groups = exact_groups(docs, text=text, key=key, salts=salts)
-    dropped = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", "text_sha256").distinct()
+    dropped = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text_sha256")).distinct()
     names = [unused(docs.columns, "_dropped"), unused(docs.columns, "_sha")]
     gone = scratch.written(dropped.toDF(*names), "exact-dropped")
-    sha = F.sha2(ascii_lower(F.coalesce(docs[text], F.lit(""))), 256)
+    sha = F.xxhash64(F.sha2(ascii_lower(F.coalesce(docs[text], F.lit(""))), 256))  # tells apart texts of one doc_id
     return docs.join(gone, (docs[key] == gone[names[0]]) & (sha == gone[names[1]]), "left_anti")

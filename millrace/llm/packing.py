@@ -35,7 +35,7 @@ from millrace.llm import scratch
 from millrace.llm.tokens import encoder, text_slices
 
 #: Rows of task, length and first rank (24 bytes each) up to which they are broadcast, so that no ids are exchanged.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), lengths falling
 Counts = dict[int, int]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import scratch
 from millrace.llm.names import unused
+from millrace.llm.salting import salted_join
 from millrace.llm.tokens import text_slices
 
 BITS = 64
@@ -265,11 +266,8 @@ def _as_links(low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["a", "b"])
 
 
-def _salted_join(rows: DataFrame, by: str, spread: str, table: DataFrame, on: str, salts: int = 8) -> DataFrame:
-    """``rows`` joined to the one row of ``table`` with ``by`` = ``on``; a value's rows are dealt over ``salts`` by ``spread``."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    right = table.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.join(right, (F.col(by) == F.col(on)) & (F.col("_salt") == F.col("_other"))).drop("_salt", "_other")
+def _salted_join(rows: DataFrame, by: str, spread: str, table: DataFrame, on: str) -> DataFrame:
+    return salted_join(rows, F.col(by) == F.col(on), F.col(spread), table)
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -335,8 +333,8 @@ def near_duplicate_groups(docs: DataFrame, *, width: int = 3, text: str = "text"
 
 #: Lanes of 64 bits in the signatures that :func:`similar_groups` compares.
 LANES = 4
-#: Nodes of a group that are tested against as many others in one list.
-BLOCK = 512
+#: Nodes of a group that are tested against as many others in one list, by signatures and by sets.
+SIGNED_BLOCK, BLOCK = 64, 512
 
 
 #: Tables of a word of ROWS least hashes each. A pair of Jaccard 0.8 misses all of them once in 2e9 pairs.
@@ -441,15 +439,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield held.slice(0, cut), held.slice(cut)
 
 
-def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
     """Rows (group, node, rest, and ``columns``) as lists for :func:`_lists`, which hold each pair of a rest row and any row of its group.
 
-    A group's rows are dealt into blocks of some BLOCK nodes, and so are its rest rows; each pair of such blocks is a
+    A group's rows are dealt into blocks of some ``size`` nodes, and so are its rest rows; each pair of such blocks is a
     list, so no task holds a group.
     """
     sizes = rows.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n_all"), F.count_if("rest").alias("n_rest")).filter("n_rest > 0")
     known = _salted_join(rows, "group", "node", sizes, "g")
-    blocks = [F.ceil(F.col(n) / F.lit(BLOCK)).cast("bigint") for n in ("n_rest", "n_all")]
+    blocks = [F.ceil(F.col(n) / F.lit(size)).cast("bigint") for n in ("n_rest", "n_all")]
     mine = [F.pmod(F.xxhash64(F.lit(k), "node"), n) for k, n in enumerate(blocks)]
     every = [F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)) for n in blocks]
     sides = [
@@ -495,7 +493,7 @@ def _candidate_links(marked: DataFrame, similarity: float) -> DataFrame:
     rows = met.join(far, here, "left").select(F.col("key").alias("group"), "node", F.col("f_node").isNotNull().alias("rest"))
     # Words with a far node only; their close nodes are kept as partners.
     rows = scratch.written(rows, "met-rest")
-    lists = _dealt(rows, []).select("group", "i", "j", "side", "node")
+    lists = _dealt(rows, [], SIGNED_BLOCK).select("group", "i", "j", "side", "node")
     lists = lists.join(signed, F.col("node") == F.col("n")).select("group", "i", "j", "side", "node", *_SIGNATURE)
     lists = lists.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side")
 
@@ -561,7 +559,7 @@ def _verified(marked: DataFrame, links: DataFrame, classes: DataFrame, width: in
             if linked.any():
                 yield _as_links(*_spanning(*nodes, linked))
 
-    found = _dealt(rows, ["held"]).mapInArrow(compare, "a bigint, b bigint")
+    found = _dealt(rows, ["held"], BLOCK).mapInArrow(compare, "a bigint, b bigint")
     return found.union(tested.filter("close").select("pivot", "node")).distinct()
 
 

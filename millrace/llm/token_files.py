@@ -11,8 +11,8 @@ its control bytes then its data bytes, and behind them an index (doc_id, null fl
 and a footer. Shards are written under a temporary name and renamed, and the manifest is committed by Spark, so
 a task that is run again leaves at most an unlisted file.
 
-Rows: null text counts as empty; an empty text is its end id alone. Rows with equal doc_id are kept, ordered by their
-ids' checksum; rows without doc_id come first. Extra columns of the input are ignored. An empty table gives an empty
+Rows: null text counts as empty; an empty text is its end id alone. Rows with equal doc_id are kept, in an
+order that their ids alone decide, and fill as many shards as they need; rows without doc_id come first. Extra columns of the input are ignored. An empty table gives an empty
 manifest.
 """
 
@@ -126,6 +126,10 @@ def id_frequencies(tokens: DataFrame, itemsize: int, size: int) -> np.ndarray:
     return out
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
 def write_token_files(
     docs: DataFrame,
     tokenizer: str,
@@ -156,15 +160,22 @@ def write_token_files(
 
     shards = max(1, -(-int(counts.sum()) * 2 // shard_bytes))
     inner = [k / shards for k in range(1, shards)]
-    cuts = sorted(set(tokens.approxQuantile("doc_id", inner, max(1e-5, 0.05 / shards)))) if inner else []
+    lowest = float(-(1 << 63))  # null ids come first
+    quantiles = tokens.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).cast("double").alias("k")).approxQuantile
+    cuts = sorted(quantiles("k", inner, max(1e-5, 0.05 / shards))) if inner else []
     ranks = spark.sparkContext.broadcast(rank_of)  # as long as the vocabulary
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
         for batch in batches:
             ids, keys = batch.column(3), batch.column(0)
-            order = np.searchsorted(cuts, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-            order[keys.is_null().to_numpy(zero_copy_only=False)] = 0
+            null = keys.is_null().to_numpy(zero_copy_only=False)
+            place = np.where(null, lowest, keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64))
+            order = np.searchsorted(cuts, place, side="right")
+            # Rows of one id (or of none) that fill several shards are dealt over those by their checksum.
+            filled = order - np.searchsorted(cuts, place, side="left")
+            several = (filled > 1) & (null | (np.abs(place) < 1 << 53))
+            order = order - np.where(several, _numbers(batch.column(2)) % np.maximum(filled, 1), 0)
             for first in range(0, len(ids), 256):
                 parts = [encode_ranks(table[np.frombuffer(x.as_buffer(), dtype)], wide) for x in ids.slice(first, 256)]
                 n = len(parts)

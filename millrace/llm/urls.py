@@ -9,10 +9,11 @@ with its path, and the longest fitting one decides. Other urls are judged by the
 2. Literal siblings that are statistically similar are merged: Cramer's V between their distributions over (shape of
    the next segment, label) of at most ``similar``, the larger branches first.
 3. A template is rejected if its labelled purity, smoothed towards the share of bad labels over all pages with
-   ``strength`` pseudo-pages, is at least ``purity`` and at least half of its pages are labelled.
+   ``strength`` pseudo-pages, is at least ``purity``; labels may cover a small sample of the pages.
 
 Counts are aggregated before they meet, so a host with a third of all pages is a handful of rows for each node; a
-node has at most 1 / share literal branches, and those alone are compared. Each level is written to the shared folder.
+node has at most 1 / share literal branches, and those alone are compared. Pages find their branch over salted keys.
+Each level is written to the shared folder.
 
 Rows: null urls and urls without ``://`` have empty host and path and are allowed (no tree is grown for them);
 repeated rows and repeated page ids are each judged; null labels count as unlabelled; an empty table gives an empty result;
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import scratch
 from millrace.llm.exact_dedup import ascii_lower
+from millrace.llm.salting import salted_join
 
 Rule = tuple[str, str, str]
 #: (verdict, host, path): the rules of the registered query.
@@ -131,7 +133,7 @@ def url_templates(
         fits = (F.col("host") == F.col("_h")) & (F.col("_node") == F.col("_k")) & (here == F.col("_v"))
         step = F.concat("_node", F.lit("/"), F.coalesce("branch", _shape(here)))
         rows = scratch.written(
-            rows.join(named, fits, "left").withColumn("_node", F.when(here.isNull(), F.col("_node")).otherwise(step)).drop("_h", "_k", "_v", "branch"),
+            salted_join(rows, fits, F.col("_parts"), named, "left").withColumn("_node", F.when(here.isNull(), F.col("_node")).otherwise(step)).drop("_h", "_k", "_v", "branch"),
             "templates",
         )
     return rows.drop("_parts").withColumnRenamed("_node", "template")
@@ -178,5 +180,5 @@ def judge_urls(
     bad = stats.filter((F.col("purity") >= purity) & (F.col("host") != ""))
     bad = bad.select(F.col("host").alias("_h"), F.col("template").alias("_t"), "purity")
     method = F.when(F.col("_h").isNotNull(), "block").otherwise("allow")
-    joined = grown.join(bad, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
+    joined = salted_join(grown, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), F.col("path"), bad, "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("_said", method).alias("verdict"), "template", "purity")

@@ -197,6 +197,63 @@ def test_templates_are_rejected_by_a_sample_of_labels(spark):
     assert all((r.verdict == "block") == (r.page_id % 3 == 1) for r in got)
 
 
+def brute_judged(urls_of, depth=4, support=20, share=0.02, similar=0.1, strength=8.0, purity=0.8):
+    """{page_id: (verdict, template)} by plain loops."""
+    shape = lambda x: "" if x is None else "#" if re.fullmatch(r"[0-9]+(\.[a-z]+)?", x) else "*"
+    pages = {}
+    for k, url in urls_of.items():
+        host, path, _, said = brute_url(url)
+        parts = [x for x in path.split("/") if x]
+        if len(parts) > depth:
+            parts = [*parts[: depth - 1], "/".join(parts[depth - 1 :])]
+        pages[k] = [host, parts, "", {"block": 1, "allow": 0, None: None}[said], said]
+    for level in range(depth):
+        nodes = {}
+        for host, parts, node, label, _ in pages.values():
+            if level < len(parts):
+                after = parts[level + 1] if level + 1 < len(parts) else None
+                kind = (shape(after), label)
+                nodes.setdefault((host, node), {}).setdefault(parts[level], Counter())[kind] += 1
+        names = {}
+        for at, values in nodes.items():
+            total = sum(sum(c.values()) for c in values.values())
+            literal = [(v, c) for v, c in values.items() if sum(c.values()) >= support and sum(c.values()) >= share * total]
+            groups = []
+            for v, c in sorted(literal, key=lambda x: (-sum(x[1].values()), x[0])):
+                for group in groups:
+                    kinds = sorted(set(group[0]) | set(c), key=str)
+                    table = np.array([[x[k] for k in kinds] for x in (group[0], c)], float)
+                    expected = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
+                    if len(kinds) < 2 or math.sqrt(((table - expected) ** 2 / expected).sum() / table.sum()) <= similar:
+                        group[0].update(c)
+                        group[1].append(v)
+                        break
+                else:
+                    groups.append((Counter(c), [v]))
+            names |= {(at, v): g[0] if len(g) == 1 else "{" + "|".join(sorted(g)) + "}" for _, g in groups for v in g}
+        for page in pages.values():
+            if level < len(page[1]):
+                value = page[1][level]
+                page[2] += "/" + names.get(((page[0], page[2]), value), shape(value))
+    labels = [p[3] for p in pages.values() if p[3] is not None]
+    prior = sum(labels) / len(labels) if labels else 0
+    seen = {}
+    for host, _, node, label, _ in pages.values():
+        if label is not None:
+            seen.setdefault((host, node), []).append(label)
+    bad = {at for at, x in seen.items() if at[0] and (sum(x) + strength * prior) / (len(x) + strength) >= purity}
+    return {k: (said or ("block" if (host, node) in bad else "allow"), node) for k, (host, _, node, _, said) in pages.items()}
+
+
+def test_the_tree_s_verdicts_on_a_whole_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    want = brute_judged({r.page_id: r.url for r in pages.collect()})
+    got = urls.judge_urls(pages).collect()
+    assert {r.page_id: (r.verdict, r.template) for r in got} == want
+    unruled = [r for r in got if r.rule is None]
+    assert 0 < sum(r.verdict == "block" for r in unruled) < len(unruled)
+
+
 @pytest.fixture(scope="module")
 def insults(spark):
     rng = random.Random(7)

@@ -55,6 +55,26 @@ def test_token_files_round_trip(odd_docs, odd_rows):
         start += len(ids)
 
 
+def test_hot_and_missing_ids_fill_several_shards(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 7, 7, k]), " ".join(str(rng.random()) for _ in range(30))) for k in range(400)]
+    files = token_files.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string"), BYTE, end_id=0, shard_bytes=8_000)
+    shards = [list(token_files.read_shard(r.path)) for r in files.manifest.orderBy("shard").collect()]
+    held = [[None if n else int(k) for keys, nulls, _ in blocks for k, n in zip(keys, nulls, strict=True)] for blocks in shards]
+    for hot in (None, 7):
+        assert sum(hot in keys for keys in held) > 3 and max(keys.count(hot) for keys in held) < 60
+    order = [-1 if k is None else k for keys in held for k in keys]
+    assert order == sorted(order) and len(order) == 400
+    got = token_files.read_token_files(files).collect()
+    encode = library(BYTE)
+    want = Counter((k, tuple([*encode(t), 0])) for k, t in rows)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_token_files_odd_rows(awkward_docs, no_docs):
     files = token_files.write_token_files(awkward_docs, BYTE, end_id=0)
     rows = token_files.read_token_files(files, with_ids=False).orderBy("start").collect()
