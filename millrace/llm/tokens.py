@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks in a generation of a worker's memo, of which two are kept: some 150 MB together.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 450_000
+#: New chunks that go through the library as one text; larger ones take longer for each chunk.
+JOINED = 1000
 
 #: White space other than space and line feed.
 OTHER_SPACES = (
@@ -77,8 +79,8 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks joined by a separator that is a token of its own, and cut the ids there."""
-        for start in range(0, len(chunks), 20_000):
-            part = chunks[start : start + 20_000]
+        for start in range(0, len(chunks), JOINED):
+            part = chunks[start : start + JOINED]
             joined = self.separator.join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(ids == self.separator_id)
@@ -109,13 +111,13 @@ class ChunkEncoder:
         cut = [self._chunks(texts[k]) for k in plain]
         memo, before = self.memo, self.before
         memo[""] = b""
-        new = []
-        for chunk in set().union(*cut):
-            if chunk not in memo:
-                if chunk in before:
-                    memo[chunk] = before[chunk]
-                else:
-                    new.append(chunk)
+        found = set().union(*cut)
+        found.difference_update(memo)
+        if before:
+            again = found.intersection(before)
+            memo.update(zip(again, map(before.__getitem__, again), strict=True))
+            found -= again
+        new = list(found)
         if self.kind == "spaced" and "\n" in new:
             new.remove("\n")
             memo["\n"] = self.whole(["\n"])[0]
