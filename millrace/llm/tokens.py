@@ -7,8 +7,11 @@ with white space of which the cuts are not plain (runs, tabs, other Unicode spac
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import sys
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +28,15 @@ OTHER_SPACES = (
     "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000",
 )
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies spell bytes with: printable ones stand for themselves, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
@@ -77,8 +89,27 @@ class ChunkEncoder:
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return text.replace("\n", " ").split(" ")
 
+    def _learn_words(self, chunks: list[str]) -> list[str]:
+        """Encode the chunks that the pre-tokenizer leaves whole by the library's model alone; the others are returned.
+
+        Those are Latin letters, with a space before them or not.
+        """
+        tokenize, rest, code = self.tokenizer.model.tokenize, [], "H" if self.dtype.itemsize == 2 else "I"
+        for chunk in chunks:
+            if chunk.lstrip(" ").isalpha() and max(chunk) < "\u0250":
+                spelled = chunk.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = array(code, [x.id for x in tokenize(spelled)])
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                self.memo[chunk] = ids.tobytes()
+            else:
+                rest.append(chunk)
+        return rest
+
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks joined by a separator that is a token of its own, and cut the ids there."""
+        if self.kind == "spaced":
+            chunks = self._learn_words(chunks)
         for start in range(0, len(chunks), JOINED):
             part = chunks[start : start + JOINED]
             joined = self.separator.join(part)
@@ -102,6 +133,15 @@ class ChunkEncoder:
         """The id bytes of each text."""
         if not self.kind:
             return self.whole(texts)
+        collecting = gc.isenabled()
+        gc.disable()  # lists of millions of strings are no cycles, and take long to walk
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.memo) > self.memo_entries:  # the last generation is kept and gives back what is met again
             self.memo, self.before = {}, self.memo
         out, plain, odd = [b""] * len(texts), [], []
