@@ -28,6 +28,10 @@ OTHER_SPACES = (
     "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000",
 )
 
+#: Marks that follow a word as a piece of their own. No apostrophe, which begins pieces of letters.
+PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
 def _byte_letters() -> dict[int, int]:
     """The letters that byte-level vocabularies spell bytes with: printable ones stand for themselves, others from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -36,6 +40,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_SPACE = chr(_BYTE_LETTERS[32])
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
@@ -57,6 +62,7 @@ class ChunkEncoder:
         self.before: dict[str, bytes] = {}
         self.memo_entries = memo_entries
         self.kind = self._kind(spec)
+        self.plain, self.lower = self._words(spec, self.kind)
         if self.kind == "spaced":  # a space belongs to the word after it
             self.separator, self.odd = "\n", ("  ", "\n\n", " \n", "\n ", "\0", *OTHER_SPACES)
         elif self.kind == "dropped":  # white space only delimits
@@ -80,6 +86,21 @@ class ChunkEncoder:
             return "dropped" if normalizer and white in normalizer.get("normalizers", []) else ""
         return ""
 
+    @staticmethod
+    def _words(spec: dict, kind: str) -> tuple[bool, bool]:
+        """Whether a word and the marks behind it are pieces of their own that go to the model as spelled bytes, and lower-cased."""
+        if not kind or spec["model"].get("type") != "BPE" or not all(x["special"] for x in spec.get("added_tokens", [])):
+            return False, False
+        if kind == "spaced":
+            return True, False
+        steps = spec["pre_tokenizer"]["pretokenizers"]
+        split, last = steps[0]["pattern"].get("Regex", ""), steps[1] if len(steps) == 2 else {}
+        changes = [x["type"] for x in spec["normalizer"]["normalizers"]]
+        bytes_only = last.get("type") == "ByteLevel" and not last.get("use_regex") and not last.get("add_prefix_space")
+        letters = "[\\p{L}]+" in split and "[^\\s\\p{L}\\p{N}]+" in split
+        known = set(changes) <= {"NFC", "Replace", "Lowercase"} and changes.count("Replace") == 1
+        return bytes_only and letters and known, "Lowercase" in changes
+
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
@@ -90,25 +111,37 @@ class ChunkEncoder:
         return text.replace("\n", " ").split(" ")
 
     def _learn_words(self, chunks: list[str]) -> list[str]:
-        """Encode the chunks that the pre-tokenizer leaves whole by the library's model alone; the others are returned.
+        """Encode the chunks that the pre-tokenizer cuts plainly by the library's model alone; the others are returned.
 
-        Those are Latin letters, with a space before them or not.
+        Those are Latin letters, with a space before them or not, and behind them punctuation or nothing.
         """
-        tokenize, rest, code = self.tokenizer.model.tokenize, [], "H" if self.dtype.itemsize == 2 else "I"
+        memo, rest, tokenize, lower = self.memo, [], self.tokenizer.model.tokenize, self.lower
+        code, swap = "H" if self.dtype.itemsize == 2 else "I", sys.byteorder == "big"
         for chunk in chunks:
-            if chunk.lstrip(" ").isalpha() and max(chunk) < "\u0250":
-                spelled = chunk.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = array(code, [x.id for x in tokenize(spelled)])
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                self.memo[chunk] = ids.tobytes()
+            stem = chunk.rstrip(PUNCTUATION)
+            tail = chunk[len(stem) :]
+            word = stem.lower() if lower else stem
+            if not word.lstrip(" ").isalpha():
+                rest.append(chunk)
+                continue
+            if word.isascii():
+                spelled = word.replace(" ", _SPACE)
+            elif max(stem) < "\u0250":
+                spelled = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
             else:
                 rest.append(chunk)
+                continue
+            ids = array(code, [x.id for x in tokenize(spelled)])
+            if tail:
+                ids.extend([x.id for x in tokenize(tail)])
+            if swap:
+                ids.byteswap()
+            memo[chunk] = ids.tobytes()
         return rest
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks joined by a separator that is a token of its own, and cut the ids there."""
-        if self.kind == "spaced":
+        if self.plain:
             chunks = self._learn_words(chunks)
         for start in range(0, len(chunks), JOINED):
             part = chunks[start : start + JOINED]
@@ -151,13 +184,11 @@ class ChunkEncoder:
         cut = [self._chunks(texts[k]) for k in plain]
         memo, before = self.memo, self.before
         memo[""] = b""
-        found = set().union(*cut)
-        found.difference_update(memo)
-        if before:
-            again = found.intersection(before)
-            memo.update(zip(again, map(before.__getitem__, again), strict=True))
-            found -= again
-        new = list(found)
+        found = set().union(*cut).difference(memo)  # walks the batch's chunks, not the memo
+        unknown = found.difference(before)
+        again = found - unknown
+        memo.update(zip(again, map(before.__getitem__, again), strict=True))
+        new = list(unknown)
         if self.kind == "spaced" and "\n" in new:
             new.remove("\n")
             memo["\n"] = self.whole(["\n"])[0]

@@ -36,6 +36,14 @@ def test_chunks_encode_as_whole_texts(path, texts):
     assert encoder.encode(texts) == want
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text("aBÉßİŉǅ\u212a\u0338\u0301жªº²'s  .,<\"$-_\\", max_size=40), max_size=6))
+def test_words_and_the_marks_behind_them(path, texts):
+    encoder = tokens.ChunkEncoder(path)
+    assert encoder.plain and encoder.encode(texts) == encoder.whole(texts)
+
+
 def test_a_small_memo_changes_nothing(odd_rows):
     texts = [t or "" for _, t, *_ in odd_rows]
     small, large = tokens.ChunkEncoder(BYTE, 5), tokens.encoder(BYTE)
