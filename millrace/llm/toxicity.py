@@ -15,7 +15,8 @@ ratio over documents), then in ``rounds`` further fits the word that the fit bef
 of a toxic document is toxic: those whose witness scores below the ``QUIET`` quantile of clean sentences are left out.
 Landmarks are the most telling witnesses and words of clean sentences; words are mapped by their kernel values to the
 landmarks times the inverse root of the landmarks' kernel matrix, and a linear SVM is
-fitted (squared hinge; each clean word costs one, each witness the root of its sentences' number).
+fitted (squared hinge; each clean word and each witness costs the root of its sentences' number, so a common clean word
+that toxic documents hold too is not outweighed as a witness).
 A bounded sample is learned from, so the driver's work does not grow with the corpus: at most ``toxic_documents`` and
 ``clean_documents`` labelled documents, at most ``sentences`` sentences of each class, both chosen by a hash, and
 ``landmarks`` landmarks of 2 to ``LANDMARK_CHARS`` characters.
@@ -260,7 +261,7 @@ def fit_sentence_machine(
         witness, often = np.unique(words[held & loud[owner]], return_counts=True)
         examples = np.concatenate([witness, asked])
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(asked))])
-        weight = np.concatenate([np.sqrt(often), np.ones(len(asked))])
+        weight = np.concatenate([np.sqrt(often), np.sqrt(common[asked])])
         w = _svm(mapped[examples], y, weight)
         score = mapped @ w[:-1] + w[-1]
     if score is telling:
