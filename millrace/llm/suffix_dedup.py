@@ -11,7 +11,8 @@ earlier in the same one. Strings never cross documents and are judged on the inp
    left in reverse order, both as far as the anchor's own windows reach, behind the gram's hash. A run of them is
    sorted; equal suffixes fold to the earliest, and the others are wholly covered by it. The sorted run is
    front-coded (length of the prefix shared with the suffix before, and the rest), cut by bucket of the hash, and
-   exchanged.
+   exchanged. Equal suffixes of some megabytes of text fold before that, where anchors are found, so the anchors of a very
+   common passage are few rows for each task.
 3. Merge. The runs of a bucket are merged by a loser tree that knows, of every contender, the prefix it shares with
    the last winner; contenders are compared by these lengths, and bytes only from there on. Out come the suffixes in
    order with their common prefix lengths, as a suffix array and LCP array of the bucket.
@@ -383,25 +384,54 @@ def _slices(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def _later_twins(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which suffixes equal, byte by byte, one of smaller ``order``."""
+    words = rows.view("<u8")
+    key = words[:, 0].copy()
+    for k in range(1, words.shape[1]):
+        key = _joined(key, words[:, k])
+    by = np.lexsort((order, key))
+    new = np.concatenate([[True], key[by][1:] != key[by][:-1]])
+    first = by[np.flatnonzero(new)[new.cumsum() - 1]]
+    out = np.zeros(len(rows), bool)
+    out[by] = ~new & (rows[by] == rows[first]).all(axis=1)
+    return out
+
+
 def _candidates(documents: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, _key, at, _twin) of every anchor whose gram hash occurs twice or more.
+    """(h, _key, at, _twin, settled) of every anchor whose gram hash occurs twice or more.
 
     Of a gram that repeats within some megabytes of text, one anchor goes to the partition of its hash; the others are
-    known to repeat and are dealt evenly, so that a passage in a third of all documents loads no task.
+    known to repeat and are dealt evenly, so that a passage in a third of all documents loads no task. Those whose whole
+    suffix equals an earlier one's there are settled: all their windows are repeats, and the earlier one stands for them.
     """
+    form = _Form(length, gram)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, twins, texts = _numpy(batch.column(0)), _numpy(batch.column(1)), batch.column(2).cast(pa.binary())
             for a, b in _slices(texts):
-                number, place, high, low, hashes = document_anchors(texts.slice(a, b - a).to_pylist(), length, gram)
-                _, first, count = np.unique(hashes, return_index=True, return_counts=True)
-                known = np.ones(len(hashes), np.int8)
-                known[first] = np.where(count > 1, 2, 0)
+                raw = texts.slice(a, b - a).to_pylist()
+                number, place, high, low, hashes = document_anchors(raw, length, gram)
                 at = pack_place(place, high, low)
+                settled = np.zeros(len(hashes), bool)
+                _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+                often = np.flatnonzero(count[which] > 1)
+                if len(often):
+                    data, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw[:-1])])
+                    order = np.empty(len(often), np.int64)
+                    order[np.lexsort((place[often], twins[a:b][number[often]], keys[a:b][number[often]]))] = np.arange(len(often))
+                    for k in range(0, len(often), 50_000):
+                        part = often[k : k + 50_000]
+                        rows = form.suffixes(data, begins[number[part]], place[part], high[part], low[part], hashes[part])
+                        settled[part] = _later_twins(rows, order[k : k + 50_000])
+                open_first = np.flatnonzero(~settled)
+                _, first, left = np.unique(hashes[open_first], return_index=True, return_counts=True)
+                known = np.ones(len(hashes), np.int8)
+                known[open_first[first]] = np.where(left > 1, 2, 0)
                 route = np.where(known == 1, _joined(hashes, at.view(np.uint64) * _ODD), hashes)
-                columns = (route.view(np.int64), known, hashes.view(np.int64), keys[a:b][number], at, twins[a:b][number])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "known", "h", "_key", "at", "_twin"])
+                columns = (route.view(np.int64), known, hashes.view(np.int64), keys[a:b][number], at, twins[a:b][number], settled)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "known", "h", "_key", "at", "_twin", "settled"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, of which the next one decides
@@ -418,13 +448,13 @@ def _candidates(documents: DataFrame, length: int, gram: int) -> DataFrame:
             held, n = batch.slice(len(h) - 1), len(h) - 1
             if n:
                 before = h[n - 1]
-                yield batch.slice(0, n).filter(pa.array(keep[:n])).select(["h", "_key", "at", "_twin"])
+                yield batch.slice(0, n).filter(pa.array(keep[:n])).select(["h", "_key", "at", "_twin", "settled"])
         if held is not None and (held.column(0)[0].as_py() > 0 or (before is not None and before == held.column(1)[0].as_py())):
-            yield held.select(["h", "_key", "at", "_twin"])
+            yield held.select(["h", "_key", "at", "_twin", "settled"])
 
-    rows = documents.select("_key", "_twin", "_text").mapInArrow(find, "route bigint, known tinyint, h bigint, _key bigint, at bigint, _twin bigint")
-    dealt = rows.repartition("route").sortWithinPartitions("h").select("known", "h", "_key", "at", "_twin")
-    return dealt.mapInArrow(repeated, "h bigint, _key bigint, at bigint, _twin bigint")
+    rows = documents.select("_key", "_twin", "_text").mapInArrow(find, "route bigint, known tinyint, h bigint, _key bigint, at bigint, _twin bigint, settled boolean")
+    dealt = rows.repartition("route").sortWithinPartitions("h").select("known", "h", "_key", "at", "_twin", "settled")
+    return dealt.mapInArrow(repeated, "h bigint, _key bigint, at bigint, _twin bigint, settled boolean")
 
 
 def _with_anchors(documents: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -584,7 +614,8 @@ def _merged(runs: DataFrame, form: _Form, partitions: int) -> DataFrame:
 def repeated_spans(documents: DataFrame, length: int, gram: int, run_rows: int = 100_000) -> DataFrame:
     """(_k, _t, first, end): spans of repeated windows, which may overlap, written to the shared folder."""
     form, spark = _Form(length, gram), documents.sparkSession
-    candidates = scratch.written(_candidates(documents, length, gram), "repeated-grams")
+    found = scratch.written(_candidates(documents, length, gram), "repeated-grams")
+    candidates = found.filter("not settled")
     count = candidates.count()
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // (4 * BUCKET_ROWS))
     buckets = max(4 * partitions, count // BUCKET_ROWS)
@@ -595,7 +626,9 @@ def repeated_spans(documents: DataFrame, length: int, gram: int, run_rows: int =
     spans = _merged(_runs(documents, plain, form, buckets, run_rows, _even_keys(spark, partitions)), form, partitions)
     if hot:
         spans = spans.union(_hot_spans(documents, candidates.join(F.broadcast(often), F.col("h") == F.col("_hot"), "left_semi"), length))
-    return scratch.written(spans, "repeated-spans")
+    place, high, low = F.shiftright("at", 14), F.shiftright("at", 7).bitwiseAND(127), F.col("at").bitwiseAND(127)
+    done = found.filter("settled").select(F.col("_key").alias("_k"), F.col("_twin").alias("_t"), (place - high).alias("first"), (place - low + length).alias("end"))
+    return scratch.written(spans.union(done), "repeated-spans")
 
 
 def _cut(raw: bytes, first: Sequence[int], end: Sequence[int]) -> tuple[bytes, int, int]:

@@ -313,6 +313,20 @@ def test_a_passage_of_very_many_documents(spark, monkeypatch):
     assert [got[k] for k in range(400)] == want
 
 
+def test_a_common_line_is_settled_where_it_is_found(spark):
+    rng = random.Random(32)
+    line = " ".join(f"{rng.random()}" for _ in range(12))
+    texts = ["\n".join([f"{rng.random()}", *[line] * 4, f"{rng.random()}"]) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = suffix_dedup._candidates(suffix_dedup._documents(docs, "text", "doc_id", once=True), 100, 32)
+    left = found.filter("not settled").groupBy("h").count().agg(F.max("count")).first()[0]
+    every = found.groupBy("h").count().agg(F.max("count")).first()[0]
+    assert every >= 900 and left < every / 2
+    want = [len(t) - int(g.sum()) for t, g in zip(texts, brute_repeats([t.encode() for t in texts], 100), strict=True)]
+    got = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [got[k] for k in range(300)] == want
+
+
 def test_lanes_reach_one_task_each(spark):
     keys = suffix_dedup._even_keys(spark, 37)
     rows = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(37, "k").select(F.spark_partition_id().alias("p"), "k").collect()
