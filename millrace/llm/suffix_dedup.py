@@ -25,8 +25,9 @@ a bucket for some ``BUCKET_ROWS`` anchors, so buckets don't grow with the corpus
 
 Hot grams. All suffixes of one gram are in one bucket. Grams with over ``HOT_ROWS`` anchors and a millionth of all (a
 phrase that very many documents share, each in other surroundings; fewer than a million by that) therefore go
-another way: each window around such an anchor is known by two 64-bit hashes of its bytes, equal windows fold within
-a task's slice of texts, and what is left is aggregated by hash; all but the earliest window of a class are repeats.
+another way: their anchors are found again where the texts are, so no text is exchanged for them. Each window around
+such an anchor is known by two 64-bit hashes of its bytes, equal suffixes and equal windows fold within a task's slice
+of texts, and what is left is aggregated by hash; all but the earliest window of a class are repeats.
 
 Rows: null text counts as empty; rows that repeat a doc_id and text are judged as one document and each is returned;
 rows that share a doc_id with other texts are ordered by text hash; a null doc_id comes before all others; an empty
@@ -398,6 +399,20 @@ def _later_twins(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def _settled(form: _Form, raw: Sequence[bytes], keys: np.ndarray, twins: np.ndarray, found: Sequence[np.ndarray]) -> np.ndarray:
+    """Which of the anchors ``found`` (as :func:`document_anchors` gives them) have a whole suffix equal to an earlier one's."""
+    number, place, high, low, hashes = found
+    out = np.zeros(len(hashes), bool)
+    data, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw[:-1])])
+    order = np.empty(len(hashes), np.int64)
+    order[np.lexsort((place, twins[number], keys[number]))] = np.arange(len(hashes))
+    for k in range(0, len(hashes), 50_000):
+        part = slice(k, k + 50_000)
+        rows = form.suffixes(data, begins[number[part]], place[part], high[part], low[part], hashes[part])
+        out[part] = _later_twins(rows, order[part])
+    return out
+
+
 def _candidates(documents: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, _key, at, _twin, settled) of every anchor whose gram hash occurs twice or more.
 
@@ -412,19 +427,13 @@ def _candidates(documents: DataFrame, length: int, gram: int) -> DataFrame:
             keys, twins, texts = _numpy(batch.column(0)), _numpy(batch.column(1)), batch.column(2).cast(pa.binary())
             for a, b in _slices(texts):
                 raw = texts.slice(a, b - a).to_pylist()
-                number, place, high, low, hashes = document_anchors(raw, length, gram)
+                anchored = number, place, high, low, hashes = document_anchors(raw, length, gram)
                 at = pack_place(place, high, low)
                 settled = np.zeros(len(hashes), bool)
                 _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
                 often = np.flatnonzero(count[which] > 1)
                 if len(often):
-                    data, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw[:-1])])
-                    order = np.empty(len(often), np.int64)
-                    order[np.lexsort((place[often], twins[a:b][number[often]], keys[a:b][number[often]]))] = np.arange(len(often))
-                    for k in range(0, len(often), 50_000):
-                        part = often[k : k + 50_000]
-                        rows = form.suffixes(data, begins[number[part]], place[part], high[part], low[part], hashes[part])
-                        settled[part] = _later_twins(rows, order[k : k + 50_000])
+                    settled[often] = _settled(form, raw, keys[a:b], twins[a:b], [x[often] for x in anchored])
                 open_first = np.flatnonzero(~settled)
                 _, first, left = np.unique(hashes[open_first], return_index=True, return_counts=True)
                 known = np.ones(len(hashes), np.int8)
@@ -480,28 +489,44 @@ def _anchored_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.nda
             yield data, begins[number], owners[a:b][number], _numpy(entries.field(0)).view(np.uint64), _numpy(entries.field(1))
 
 
-def _hot_spans(documents: DataFrame, candidates: DataFrame, length: int, salts: int = 16) -> DataFrame:
-    """(_k, _t, first, end): repeated windows around anchors of hot grams."""
+def _hot_spans(documents: DataFrame, hot: np.ndarray, length: int, gram: int, salts: int = 16) -> DataFrame:
+    """(_k, _t, first, end): repeated windows around anchors of the ``hot`` grams, which are found again in the texts."""
+    form = _Form(length, gram)
     names = ["w1", "w2", "_key", "_twin", "first", "end", "open"]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, begins, owners, _, at in _anchored_slices(batches):
-            place, high, low = unpack_place(at)
-            many = high - low + 1
-            row = np.repeat(np.arange(len(at)), many)
-            offset = high[row] - (np.arange(len(row)) - np.repeat(many.cumsum() - many, many))
-            start = place[row] - offset
-            key, twin = owners[row].T
-            where = begins[row] + start
-            one, two = (gram_hashes(x, length)[where] for x in (data, data ^ np.uint8(255)))
-            order = np.lexsort((start, twin, key, two, one))
-            one, two, key, twin, start = (x[order] for x in (one, two, key, twin, start))
-            fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-            columns = (one.view(np.int64), two.view(np.int64), key, twin, start, start + length)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(fresh)], names=names)
+        for batch in batches:
+            keys, twins, texts = _numpy(batch.column(0)), _numpy(batch.column(1)), batch.column(2).cast(pa.binary())
+            for a, b in _slices(texts):
+                raw = texts.slice(a, b - a).to_pylist()
+                found = document_anchors(raw, length, gram)
+                some = np.isin(found[4], hot)
+                if not some.any():
+                    continue
+                found = [x[some] for x in found]
+                settled = _settled(form, raw, keys[a:b], twins[a:b], found)
+                # All windows of a settled anchor are repeats, and make one span.
+                number, place, high, low, _ = (x[settled] for x in found)
+                zero = np.zeros(len(place), np.int64)
+                columns = (zero, zero, keys[a:b][number], twins[a:b][number], place - high, place - low + length, zero.astype(bool))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                number, place, high, low, _ = (x[~settled] for x in found)
+                many = high - low + 1
+                row = np.repeat(np.arange(len(place)), many)
+                offset = high[row] - (np.arange(len(row)) - np.repeat(many.cumsum() - many, many))
+                start = place[row] - offset
+                key, twin = keys[a:b][number[row]], twins[a:b][number[row]]
+                data, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw[:-1])])
+                where = begins[number[row]] + start
+                one, two = (gram_hashes(x, length)[where] for x in (data, data ^ np.uint8(255)))
+                order = np.lexsort((start, twin, key, two, one))
+                one, two, key, twin, start = (x[order] for x in (one, two, key, twin, start))
+                fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+                columns = (one.view(np.int64), two.view(np.int64), key, twin, start, start + length, fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     schema = "w1 bigint, w2 bigint, _key bigint, _twin bigint, first bigint, end bigint, open boolean"
-    found = scratch.written(_with_anchors(documents, candidates).mapInArrow(windows, schema), "hot-windows")
+    found = scratch.written(documents.select("_key", "_twin", "_text").mapInArrow(windows, schema), "hot-windows")
     spans = [F.col("_key").alias("_k"), F.col("_twin").alias("_t"), "first", "end"]
     place = F.struct("_key", "_twin", "first")
     kept = found.filter("open").withColumn("_salt", F.pmod(F.xxhash64("_key", "_twin"), F.lit(salts)).cast("int"))
@@ -625,7 +650,8 @@ def repeated_spans(documents: DataFrame, length: int, gram: int, run_rows: int =
     plain = candidates.join(F.broadcast(often), F.col("h") == F.col("_hot"), "left_anti") if hot else candidates  # under a million
     spans = _merged(_runs(documents, plain, form, buckets, run_rows, _even_keys(spark, partitions)), form, partitions)
     if hot:
-        spans = spans.union(_hot_spans(documents, candidates.join(F.broadcast(often), F.col("h") == F.col("_hot"), "left_semi"), length))
+        grams = np.array([r._hot for r in often.collect()], np.int64).view(np.uint64)
+        spans = spans.union(_hot_spans(documents, grams, length, gram))
     place, high, low = F.shiftright("at", 14), F.shiftright("at", 7).bitwiseAND(127), F.col("at").bitwiseAND(127)
     done = found.filter("settled").select(F.col("_key").alias("_k"), F.col("_twin").alias("_t"), (place - high).alias("first"), (place - low + length).alias("end"))
     return scratch.written(spans.union(done), "repeated-spans")

@@ -313,6 +313,16 @@ def test_a_passage_of_very_many_documents(spark, monkeypatch):
     assert [got[k] for k in range(400)] == want
 
 
+def test_hot_grams_exchange_no_text(odd_docs, odd_rows, monkeypatch):
+    """Texts are joined to anchors once, for the runs; hot windows are found where the texts are."""
+    joins, with_anchors = [], suffix_dedup._with_anchors
+    monkeypatch.setattr(suffix_dedup, "_with_anchors", lambda *a: joins.append(a) or with_anchors(*a))
+    hot, hot_spans = [], suffix_dedup._hot_spans
+    monkeypatch.setattr(suffix_dedup, "_hot_spans", lambda *a: hot.append(a) or hot_spans(*a))
+    test_passages_of_hot_grams(odd_docs, odd_rows, monkeypatch, 0)
+    assert (len(joins), len(hot)) == (1, 1)
+
+
 def test_a_common_line_is_settled_where_it_is_found(spark):
     rng = random.Random(32)
     line = " ".join(f"{rng.random()}" for _ in range(12))
