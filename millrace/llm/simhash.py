@@ -16,6 +16,9 @@ through its midpoints (fingerprints sharing one z are all linked), which needs a
 finds the same classes. Each anchor gives star links, never all pairs of a class. Classes are joined by alternating
 large-star and small-star rounds, which are written to the shared folder.
 
+Similar texts (:func:`similar_groups`, :func:`drop_similar`) are found at the same anchors first; tables of least hashes
+find those whose fingerprints differ in more bits, and whole shingle sets decide.
+
 Odd rows: null text counts as empty; a null doc_id takes part, and the class id is the smallest non-null doc_id;
 repeated rows give repeated results; an empty table gives an empty result. Extra columns are ignored.
 """
@@ -467,16 +470,30 @@ def _signed_nodes(marked: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy(F.col("node").alias("n")).agg(*(F.first(c).alias(c) for c in _SIGNATURE))
 
 
-def _candidate_links(marked: DataFrame, similarity: float) -> DataFrame:
+def _anchor_links(marked: DataFrame) -> DataFrame:
+    """Links (a, b) that join all nodes with fingerprints (lane 0) at two or fewer differing bits, which meet at anchors."""
+    heads = marked.groupBy(F.col("s0").alias("fp")).agg(F.min("node").alias("head"), F.max("node").alias("most"))
+    heads = scratch.written(heads, "fingerprint-heads")
+    links = _salted_join(fingerprint_links(heads), "a", "b", heads.select(F.col("fp").alias("x"), F.col("head").alias("low")), "x")
+    links = _salted_join(links, "b", "a", heads.select(F.col("fp").alias("y"), F.col("head").alias("high")), "y")
+    shared = heads.filter("head != most").select("fp", "head")
+    equal = _salted_join(marked.select("node", "s0"), "s0", "node", shared, "fp").filter("node != head")
+    return links.select(F.col("low").alias("a"), F.col("high").alias("b")).union(equal.select("head", "node")).distinct()
+
+
+def _candidate_links(marked: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join all nodes which meet at a table's word and have signatures that allow the similarity.
 
-    At each word its smallest node is the pivot, and the others are tested against it. Nodes that differ from their
+    Words whose nodes are all of one class of anchor links, ``known`` (node, root), have nothing to add. At each other word its smallest node is the pivot, and the others are tested against it. Nodes that differ from their
     pivot are tested against all nodes at the word, in blocks. Words and nodes alone are exchanged for that;
     signatures only of nodes that meet others.
     """
     bits = most_bits(similarity)
     words = marked.select(F.explode("words").alias("key"), "node")
-    pivots = words.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot != most")
+    classes = known.select(F.col("node").alias("n"), "root")
+    classed = salted_join(marked.select("node", "words", "doc_id", "tag"), F.col("node") == F.col("n"), F.struct("doc_id", "tag"), classes, "left")
+    classed = classed.select(F.explode("words").alias("key"), "node", F.coalesce("root", "node").alias("class"))
+    pivots = classed.groupBy("key").agg(F.min("node").alias("pivot"), F.min("class").alias("least"), F.max("class").alias("most")).filter("least != most")
     met = _salted_join(words, "key", "node", pivots.select(F.col("key").alias("k"), "pivot"), "k").select("key", "pivot", "node")
     met = scratch.written(met.filter("node != pivot").distinct(), "met")
     pairs = met.select("pivot", "node").distinct()
@@ -584,7 +601,9 @@ def _similar_classes(docs: DataFrame, width: int, similarity: float, text: str,
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_tag(F.col(text)).alias("tag"), F.col(text).cast("string").alias("text"))
     schema = ", ".join(f"{n} bigint" for n in ("doc_id", "tag", "node", "size", *names))
     marked = scratch.written(rows.mapInArrow(mark, f"{schema}, words array<bigint>, text string"), "signatures")
-    links = scratch.written(_candidate_links(marked, similarity), "candidate-links")
+    near = scratch.written(_anchor_links(marked), "anchor-links")
+    known = scratch.written(components(near), "anchor-classes")
+    links = scratch.written(_candidate_links(marked, known, similarity).union(near).distinct(), "candidate-links")
     candidates = scratch.written(components(links), "candidate-classes")
     verified = components(_verified(marked, links, candidates, width, similarity)).withColumnRenamed("node", "n")
     return marked.select("doc_id", "tag", "node"), scratch.written(verified, "similar-classes")
@@ -600,11 +619,12 @@ def similar_groups(
 ) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable over similar texts).
 
-    For similarities at which fingerprints of 64 bits differ in far more than two: texts are similar if the sets of
-    their shingles have the Jaccard ``similarity``. Sets meet in TABLES tables, at words of ROWS least hashes each, and
-    signatures of 256 bits over the sets are compared there; both only find candidates, and lose a pair of just that
-    similarity with a chance of some 1e-9 each, at any corpus size (for 0.8 and above). Within a class of
-    candidates pairs are tested by their whole sets, and only those that pass are linked. Equal sets (by a 64-bit
+    Texts are similar if the sets of their shingles have the Jaccard ``similarity``. Fingerprints over the sets meet at
+    anchors first, and those at two or fewer differing bits make classes. For similarities at which fingerprints differ in
+    more bits than that, the classes then meet in TABLES tables, at words of ROWS least hashes of their sets each, and
+    signatures of 256 bits over the sets are compared there. All this only finds candidates, and the tables and the
+    signatures lose a pair of just that similarity with a chance of some 1e-9 each, at any corpus size (for 0.8 and
+    above). Within a class of candidates pairs are tested by their whole sets, and only those that pass are linked. Equal sets (by a 64-bit
     hash) are one node. A doc_id that repeats with several texts takes part with each.
     """
     marked, classes = _similar_classes(docs, width, similarity, text, key)

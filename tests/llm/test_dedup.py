@@ -219,6 +219,30 @@ def test_pairs_at_just_the_similarity_are_all_linked(spark):
     assert len(set(got.values())) == 1500
 
 
+def test_similar_texts_meet_at_anchors(spark, monkeypatch):
+    """Without the tables, those within two bits are linked: by anchors, and by whole sets among them."""
+    met = []
+
+    def no_tables(marked, known, similarity):
+        met.append({r.node: r.root for r in known.collect()})
+        return spark.createDataFrame([], "a bigint, b bigint")
+
+    monkeypatch.setattr(simhash, "_candidate_links", no_tables)
+    rng = random.Random(14)
+    rows = []
+    for k in range(120):  # one word of 900 is changed, or many are
+        base = [f"a{rng.randrange(10**9)}" for _ in range(900)]
+        copy = list(base)
+        for at in rng.sample(range(900), 1 if k % 2 else 60):
+            copy[at] = "other"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    fp = [int(simhash._signed(*simhash.shingle_sets([t], 5), 1)[0, 0]) for _, t in rows]
+    links = [(k, k + 1) for k in range(0, 240, 2) if (fp[k] ^ fp[k + 1]).bit_count() <= 2 and jaccard(*(shingle_set(rows[j][1]) for j in (k, k + 1))) >= 0.8]
+    assert 30 < len(links) < 100
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == roots(links, range(240)) and len(met) == 1 and len(met[0]) >= 2 * len(links)
+
+
 def test_a_shared_id_loses_no_unlike_text(spark):
     rng = random.Random(21)
     words = [f"w{k}" for k in range(2000)]
