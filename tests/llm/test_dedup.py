@@ -456,6 +456,39 @@ def test_runs_extend_to_both_sides(spark, run):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("window", [2, 3, 5])
+def test_single_lines_are_winnowed_and_extended(spark, window):
+    rng = random.Random(window)
+    rows = []
+    for k in range(60):  # passages of lines that repeat, in whole or in part, and single lines
+        lines = [f"own {k} {j}" for j in range(rng.randint(0, 6))]
+        a, n = rng.randrange(8), rng.randint(0, 9)
+        lines += [f"shared {j}" for j in range(a, a + n)] + rng.choices(["x", "y", " ", ""], k=rng.randint(0, 4))
+        rows.append((k, "\n".join(lines + lines[: rng.randint(0, 3)])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    documents = docs.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text"), F.xxhash64("text").alias("_tag"))
+    seen, later = set(), set()
+    for k, text in rows:
+        held = [line for line in text.split("\n") if line.strip()]
+        copies = [line in seen or line in held[:s] for s, line in enumerate(held)]
+        later |= {(k, s) for s, copy in enumerate(copies) if copy}
+        seen.update(held)
+    matched = {(r._key, r.s) for r in line_dedup.matched_lines(documents, window).collect()}
+    assert matched <= later and len(matched) > len(later) / 3
+    want = brute_lines(rows, 1)
+    got = line_dedup.drop_repeated_lines(docs, window=window)
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in got.collect()} == want
+
+
+def test_a_long_match_is_found_whole_by_its_fingerprints(spark):
+    passage = [f"line {k}" for k in range(200)]
+    rows = [(1, "\n".join(["a", *passage, "b"])), (2, "\n".join(["c", *passage, "d", "a"]))]
+    documents = spark.createDataFrame([(k, t, k) for k, t in rows], "_key bigint, _text string, _tag bigint")
+    got = sorted((r._key, r.s) for r in line_dedup.matched_lines(documents, 4).collect())
+    assert got[:200] == [(2, s) for s in range(1, 201)]
+    assert {(r._key, r.s) for r in line_dedup.later_runs(documents, 1, 4, 4).collect()} == {*((2, s) for s in range(1, 201)), (2, 202)}
+
+
 def test_lines_odd_rows(awkward_docs, no_docs):
     assert line_dedup.drop_repeated_lines(awkward_docs).count() == awkward_docs.count()
     assert line_dedup.drop_repeated_lines(no_docs).count() == 0
