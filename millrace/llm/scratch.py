@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting to delete the shuffle files of a query when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's bound on the bytes of a batch that goes to a Python worker.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _made: list[str] = []
 _tables: set[str] = set()
@@ -54,20 +56,24 @@ def _discard_all() -> None:
             discard(spark, list(_made))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 
-    Spark deletes the shuffle files behind the table once it is written, as nothing reads them again.
+    Spark deletes the shuffle files behind the table once it is written, as nothing reads them again. Batches for Python
+    workers have some ``batch_bytes`` at most, or what the session allows.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
     _tables.add(path)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true"} | ({_BATCH: str(batch_bytes)} if batch_bytes else {})
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -338,6 +338,11 @@ def near_duplicate_groups(docs: DataFrame, *, width: int = 3, text: str = "text"
 LANES = 4
 #: Nodes of a group that are tested against as many others in one list, by signatures and by sets.
 SIGNED_BLOCK, BLOCK = 64, 512
+#: Hashes on one side of a list of sets, and in one pass over those of both sides: what bounds a worker's memory where
+#: sets are large.
+HASHES, PASS = 1 << 21, 1 << 18
+#: Bytes of sets that a worker gets at once.
+BATCH_BYTES = 4 << 20
 
 
 #: Tables of a word of ROWS least hashes each. A pair of Jaccard 0.8 misses all of them once in 2e9 pairs.
@@ -389,7 +394,17 @@ def _alike(words: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes
 
 
 def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """The number of hashes that each set shares with each of the others."""
+    """The number of hashes that each sorted set shares with each of the others; a range of hashes at a time."""
+    passes = max(1, -(-sum(map(len, [*sets, *others])) // PASS))
+    cuts = np.array([(k << 64) // passes for k in range(1, passes)], np.uint64)
+    edges = [[np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]) for x in side] for side in (sets, others)]
+    out = np.zeros((len(sets), len(others)), np.float32)
+    for k in range(passes):
+        _add_common(out, *([x[e[k] : e[k + 1]] for x, e in zip(side, at, strict=True)] for side, at in zip((sets, others), edges, strict=True)))
+    return out
+
+
+def _add_common(out: np.ndarray, sets: list[np.ndarray], others: list[np.ndarray]) -> None:
     rows, columns = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (sets, others))
     _, value = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
     mine, theirs = value[: len(rows)], value[len(rows) :]
@@ -401,7 +416,6 @@ def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     rows, mine, columns, theirs = rows[keep_a], number[mine[keep_a]], columns[keep_b], number[theirs[keep_b]]
     a, b = np.argsort(mine, kind="stable"), np.argsort(theirs, kind="stable")
     rows, mine, columns, theirs = rows[a], mine[a], columns[b], theirs[b]
-    out = np.zeros((len(sets), len(others)), np.float32)
     for start in range(0, int((met == 3).sum()), 4096):
         pair = []
         for at, which, n in ((rows, mine, len(sets)), (columns, theirs, len(others))):
@@ -410,7 +424,6 @@ def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
             held[at[x:y], which[x:y] - start] = 1
             pair.append(held)
         out += pair[0] @ pair[1].T
-    return out
 
 
 def _spanning(nodes: np.ndarray, others: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -442,15 +455,17 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield held.slice(0, cut), held.slice(cut)
 
 
-def _dealt(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
+def _dealt(rows: DataFrame, columns: list[str], size: int, weight: Column | None = None, most: int = 1) -> DataFrame:
     """Rows (group, node, rest, and ``columns``) as lists for :func:`_lists`, which hold each pair of a rest row and any row of its group.
 
-    A group's rows are dealt into blocks of some ``size`` nodes, and so are its rest rows; each pair of such blocks is a
-    list, so no task holds a group.
+    A group's rows are dealt into blocks of some ``size`` nodes, and of ``weight`` ``most`` together, and so are its rest
+    rows; each pair of such blocks is a list, so no task holds a group.
     """
-    sizes = rows.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n_all"), F.count_if("rest").alias("n_rest")).filter("n_rest > 0")
+    share = F.lit(1 / size) if weight is None else F.greatest(F.lit(1 / size), weight / F.lit(most))
+    shares = [F.sum(share).alias("n_all"), F.sum(F.when(F.col("rest"), share).otherwise(0.0)).alias("n_rest")]
+    sizes = rows.groupBy(F.col("group").alias("g")).agg(*shares).filter("n_rest > 0")
     known = _salted_join(rows, "group", "node", sizes, "g")
-    blocks = [F.ceil(F.col(n) / F.lit(size)).cast("bigint") for n in ("n_rest", "n_all")]
+    blocks = [F.ceil(F.col(n) - F.lit(1e-6)).cast("bigint") for n in ("n_rest", "n_all")]
     mine = [F.pmod(F.xxhash64(F.lit(k), "node"), n) for k, n in enumerate(blocks)]
     every = [F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)) for n in blocks]
     sides = [
@@ -561,7 +576,8 @@ def _verified(marked: DataFrame, links: DataFrame, classes: DataFrame, width: in
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(close, pa.bool_())], names=["node", "root", "pivot", "close"])
 
     beside = _salted_join(sets, "root", "node", pivots, "r").filter("node != pivot").select("node", "root", "pivot", "held", "p_held")
-    tested = scratch.written(beside.mapInArrow(test, "node bigint, root bigint, pivot bigint, close boolean"), "class-tests")
+    tested = beside.mapInArrow(test, "node bigint, root bigint, pivot bigint, close boolean")
+    tested = scratch.written(tested, "class-tests", batch_bytes=BATCH_BYTES)
     flags = tested.select(F.col("node").alias("t"), F.col("root").alias("group"), (~F.col("close")).alias("rest"))
     rows = flags.join(sets.select("node", "held"), F.col("t") == F.col("node")).select("group", "node", "rest", "held")
 
@@ -576,7 +592,8 @@ def _verified(marked: DataFrame, links: DataFrame, classes: DataFrame, width: in
             if linked.any():
                 yield _as_links(*_spanning(*nodes, linked))
 
-    found = _dealt(rows, ["held"], BLOCK).mapInArrow(compare, "a bigint, b bigint")
+    lists = _dealt(rows, ["held"], BLOCK, F.octet_length("held") / 8, HASHES)
+    found = scratch.written(lists.mapInArrow(compare, "a bigint, b bigint"), "class-links", batch_bytes=BATCH_BYTES)
     return found.union(tested.filter("close").select("pivot", "node")).distinct()
 
 

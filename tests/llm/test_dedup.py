@@ -6,6 +6,7 @@ import functools
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -262,6 +263,30 @@ def test_common_hashes(seed):
     assert simhash._common(left, right).tolist() == want
 
 
+def test_large_sets_are_compared_in_bounded_memory():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 64, 9000, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 64, k + 1, dtype=np.uint64)])) for k in range(240)]
+    held = sum(x.nbytes for x in sets)
+    tracemalloc.start()
+    common = simhash._common(sets[:120], sets[120:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * held
+    assert [common[i, j] for i, j in ((0, 0), (7, 90), (119, 119))] == [len(np.intersect1d(sets[i], sets[120 + j])) for i, j in ((0, 0), (7, 90), (119, 119))]
+
+
+def test_lists_of_large_sets_are_bounded_by_their_hashes(spark, monkeypatch):
+    """A family of long texts, most of them unlike the pivot: no list holds more than some HASHES on a side."""
+    monkeypatch.setattr(simhash, "HASHES", 2000)
+    rows = spark.range(60).selectExpr("1L AS `group`", "id AS node", "id % 2 = 0 AS rest", "CAST(repeat('x', 8 * 500) AS binary) AS held")
+    lists = simhash._dealt(rows, ["held"], simhash.BLOCK, F.octet_length("held") / 8, simhash.HASHES)
+    sides = lists.groupBy("i", "j", "side").agg((F.sum(F.octet_length("held")) / 8).alias("hashes")).collect()
+    assert max(r.hashes for r in sides) < 5 * simhash.HASHES  # of 30,000
+    pairs = lists.filter("side = 0").select("i", "j", F.col("node").alias("a")).join(lists.filter("side = 1").select("i", "j", F.col("node").alias("b")), ["i", "j"])
+    assert pairs.select("a", "b").distinct().count() == pairs.count() == 30 * 60
+
+
 def test_a_large_family_is_linked_in_bounded_memory(spark):
     """6,000 variants of one text, most of them similar to the pivot, some only to each other."""
     rng = random.Random(22)
