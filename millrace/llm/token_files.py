@@ -35,6 +35,8 @@ from millrace.llm.tokens import encoder, text_slices
 
 MAGIC = b"MRTIDS01"
 FOOTER = struct.Struct("<QQQI8s")  # documents, ids, index offset, wide, magic
+#: Ids that are counted or coded at once, if no document has more.
+SLICE = 1 << 18
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -60,6 +62,51 @@ def encode_ranks(ranks: np.ndarray, wide: int) -> tuple[bytes, bytes]:
     return control, data.tobytes()
 
 
+def encode_documents(ranks: np.ndarray, counts: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Many documents' ranks, one after the other, as bytes and the end of each one's: as :func:`encode_ranks` gives them."""
+    long = ranks > 255
+    control = -(-counts // 8)
+    ends = counts.cumsum()
+    before = np.concatenate([[0], np.where(long, wide, 1).cumsum()])  # data bytes before each id
+    data = before[ends] - before[ends - counts]
+    stops = (control + data).cumsum()
+    starts = stops - control - data
+    out = np.zeros(int(stops[-1]) if len(stops) else 0, np.uint8)
+    # Bits, with each document's padded to whole bytes.
+    padded = np.zeros(int(control.sum()) * 8, bool)
+    padded[np.arange(len(ranks)) + np.repeat(8 * (control.cumsum() - control) - (ends - counts), counts)] = long
+    spot = np.arange(len(padded) // 8)
+    out[spot + np.repeat(starts - (control.cumsum() - control), control)] = np.packbits(padded, bitorder="little")
+    begins = before[:-1] + np.repeat(starts + control - before[ends - counts], counts)
+    out[begins] = ranks & 255
+    at, rest = begins[long], ranks[long]
+    for k in range(1, wide):
+        out[at + k] = (rest >> (8 * k)) & 255
+    return out, stops
+
+
+def decode_documents(block: np.ndarray, control: np.ndarray, counts: np.ndarray, stops: np.ndarray, wide: int, tables=None) -> np.ndarray:
+    """The inverse of :func:`encode_documents`: the ranks of documents with so many control bytes and ids, and such ends.
+
+    Looks up the control bytes of all documents at once, as :func:`decode_ranks` does for one.
+    """
+    begins, totals = tables or _tables(wide)
+    first = control.cumsum() - control  # control bytes of the documents before
+    starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
+    flags = block[np.arange(int(control.sum())) + np.repeat(starts - first, control)]
+    # Bytes of groups of eight ids; the last one of a document may count bytes beyond its end, which none of its ids takes.
+    group = totals[flags]
+    sums = np.concatenate([[0], group.cumsum()])
+    base = sums[:-1] + np.repeat(starts + control - sums[first], control)
+    held = np.repeat(8 * first - (counts.cumsum() - counts), counts) + np.arange(int(counts.sum()))
+    at = (base[:, None] + begins[flags]).ravel()[held]
+    long = np.flatnonzero(np.unpackbits(flags, bitorder="little")[held])
+    ranks = block[at].astype(np.uint32)
+    for k in range(1, wide):
+        ranks[long] |= block[at[long] + k].astype(np.uint32) << np.uint32(8 * k)
+    return ranks
+
+
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int, wide: int, tables=None) -> np.ndarray:
     """The inverse of :func:`encode_ranks`, by table lookup."""
     begins, totals = tables or _tables(wide)
@@ -114,8 +161,9 @@ def id_frequencies(tokens: DataFrame, itemsize: int, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), dtype), minlength=size)
+            ids = _joined_ids(batch.column(0), dtype)[0]
+            for first in range(0, len(ids), SLICE):
+                total += np.bincount(ids[first : first + SLICE], minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -126,6 +174,16 @@ def id_frequencies(tokens: DataFrame, itemsize: int, size: int) -> np.ndarray:
     return out
 
 
+def _joined_ids(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a binary column's rows, one row after the other, and their count in each."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if len(column) == 0 or offsets[0] == offsets[-1]:
+        return np.zeros(0, dtype), np.zeros(len(column), np.int64)
+    step = np.dtype(dtype).itemsize
+    ids = np.frombuffer(column.buffers()[2], dtype, int(offsets[-1] - offsets[0]) // step, int(offsets[0]))
+    return ids, np.diff(offsets) // step
+
+
 def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
@@ -176,19 +234,25 @@ def write_token_files(
             filled = order - np.searchsorted(cuts, place, side="left")
             several = (filled > 1) & (null | (np.abs(place) < 1 << 53))
             order = order - np.where(several, _numbers(batch.column(2)) % np.maximum(filled, 1), 0)
-            for first in range(0, len(ids), 256):
-                parts = [encode_ranks(table[np.frombuffer(x.as_buffer(), dtype)], wide) for x in ids.slice(first, 256)]
-                n = len(parts)
+            found, counts = _joined_ids(ids, dtype)
+            ends = np.concatenate([[0], counts.cumsum()])
+            first = 0
+            while first < len(ids):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE, side="right")) - 1)
+                n = last - first
+                data, stops = encode_documents(table[found[ends[first] : ends[last]]], counts[first:last], wide)
+                offsets = np.concatenate([[0], stops]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(order[first : first + n], pa.int64()),
                         keys.slice(first, n),
                         batch.column(1).slice(first, n),
                         batch.column(2).slice(first, n),
-                        pa.array([c + d for c, d in parts], pa.binary()),
+                        pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
                     ],
                     names=["shard", "doc_id", "n_tokens", "crc", "payload"],
                 )
+                first = last
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
@@ -248,7 +312,7 @@ class _ShardWriter:
         )
 
 
-def read_shard(path: str, block_bytes: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+def read_shard(path: str, block_bytes: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """Blocks of a shard: doc_ids, null flags and each document's ranks, in file order."""
     store, at = _open(path)
     with store.open_input_file(at) as source:
@@ -271,11 +335,8 @@ def read_shard(path: str, block_bytes: int = 4 << 20) -> Iterator[tuple[np.ndarr
         while first < n:
             last = max(first + 1, int(np.searchsorted(ends, done + block_bytes, side="right")))
             block = np.frombuffer(source.read(int(ends[last - 1]) - done), np.uint8)
-            documents, a = [], 0
-            for k in range(first, last):
-                c, b = a + int(control[k]), int(ends[k]) - done
-                documents.append(decode_ranks(block[a:c], block[c:b], int(n_ids[k]), wide, tables))
-                a = b
+            ranks = decode_documents(block, control[first:last], n_ids[first:last], ends[first:last] - done, wide, tables)
+            documents = np.split(ranks, n_ids[first:last].cumsum()[:-1])
             yield keys[first:last], nulls[first:last], documents
             first, done = last, int(ends[last - 1])
 
@@ -300,7 +361,7 @@ def read_token_files(files: TokenFiles, with_ids: bool = True) -> DataFrame:
                         pa.array(keys, pa.int64(), mask=nulls),
                         pa.array(base + counts.cumsum() - counts, pa.int64()),
                         pa.array(counts, pa.int64()),
-                        pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                     ]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:

@@ -60,6 +60,7 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.memo_entries = memo_entries
         self.kind = self._kind(spec)
         self.plain, self.lower = self._words(spec, self.kind)
@@ -117,9 +118,13 @@ class ChunkEncoder:
         """
         memo, rest, tokenize, lower = self.memo, [], self.tokenizer.model.tokenize, self.lower
         code, swap = "H" if self.dtype.itemsize == 2 else "I", sys.byteorder == "big"
+        tails, before = self.tails, self.before
         for chunk in chunks:
             stem = chunk.rstrip(PUNCTUATION)
             tail = chunk[len(stem) :]
+            if tail and (known := memo.get(stem) or before.get(stem)) and tail in tails and stem.lstrip(" ").isalpha() and max(stem) < "\u0250":
+                memo[chunk] = known + tails[tail]  # the same word stood alone, or behind it other marks
+                continue
             word = stem.lower() if lower else stem
             if not word.lstrip(" ").isalpha():
                 rest.append(chunk)
@@ -132,11 +137,18 @@ class ChunkEncoder:
                 rest.append(chunk)
                 continue
             ids = array(code, [x.id for x in tokenize(spelled)])
-            if tail:
-                ids.extend([x.id for x in tokenize(tail)])
             if swap:
                 ids.byteswap()
-            memo[chunk] = ids.tobytes()
+            memo[stem] = raw = ids.tobytes()
+            if tail:
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    marks = array(code, [x.id for x in tokenize(tail)])
+                    if swap:
+                        marks.byteswap()
+                    tails[tail] = marks.tobytes()
+                memo[chunk] = raw + tails[tail]
         return rest
 
     def _learn(self, chunks: list[str]) -> None:

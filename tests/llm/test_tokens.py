@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -44,6 +45,29 @@ def test_words_and_the_marks_behind_them(path, texts):
     assert encoder.plain and encoder.encode(texts) == encoder.whole(texts)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_known_word_with_other_marks_is_not_asked_again(path):
+    enc, asked = tokens.ChunkEncoder(path), []
+    model = enc.tokenizer.model
+
+    class Asked:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+
+    class Library:
+        def __init__(self, tokenizer):
+            self.encode_batch_fast, self.model = tokenizer.encode_batch_fast, Asked()
+
+    enc.tokenizer = Library(enc.tokenizer)
+    texts = ["a word, another word. Word", "one word; a word, and été, a été.", "word) word word."]
+    assert [np.frombuffer(x, enc.dtype).tolist() for t in texts for x in enc.encode([t])] == [library(path)(t) for t in texts]
+    asked.clear()
+    more = "x another; x another) x word."
+    assert np.frombuffer(enc.encode([more])[0], enc.dtype).tolist() == library(path)(more)
+    assert not any("word" in x or "another" in x for x in asked)
+
+
 def test_a_small_memo_changes_nothing(odd_rows):
     texts = [t or "" for _, t, *_ in odd_rows]
     small, large = tokens.ChunkEncoder(BYTE, 5), tokens.encoder(BYTE)
@@ -102,6 +126,35 @@ def test_rank_coding(ranks, wide):
     assert len(data) == sum(1 if r < 256 else wide for r in ranks)
 
 
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.lists(st.integers(0, 70000) | st.integers(0, 300), max_size=40), max_size=9), wide=st.integers(3, 4))
+def test_documents_are_coded_together_as_one_by_one(texts, wide):
+    counts = np.array([len(x) for x in texts], np.int64)
+    joined = np.array([r for x in texts for r in x], np.uint32)
+    data, stops = token_files.encode_documents(joined, counts, wide)
+    alone = [b"".join(token_files.encode_ranks(np.array(x, np.int64), wide)) for x in texts]
+    assert data.tobytes() == b"".join(alone) and stops.tolist() == np.cumsum([len(x) for x in alone], dtype=int).tolist()
+    assert token_files.decode_documents(data, -(-counts // 8), counts, stops, wide).tolist() == joined.tolist()
+
+
+def test_joined_ids_of_a_slice():
+    rows = [np.arange(k, dtype="<u2").tobytes() for k in (2, 0, 5, 1, 0)]
+    for first, last in ((0, 5), (1, 4), (1, 2), (5, 5)):
+        ids, counts = token_files._joined_ids(pa.array(rows, pa.binary()).slice(first, last - first), "<u2")
+        assert ids.tobytes() == b"".join(rows[first:last]) and counts.tolist() == [len(x) // 2 for x in rows[first:last]]
+
+
+@pytest.mark.parametrize("step", [1, 50])
+def test_slices_change_no_file(odd_docs, monkeypatch, step):
+    """Documents are coded in slices of some ids; a shard's bytes are those of whole batches."""
+    held = []
+    for size in (1 << 18, step):
+        monkeypatch.setattr(token_files, "SLICE", size)
+        files = token_files.write_token_files(odd_docs, BYTE, end_id=0)
+        held.append([tuple(r) for r in token_files.read_token_files(files, with_ids=False).orderBy("start").collect()])
+    assert held[0] == held[1]
+
+
 def fewest(items, capacity):
     items, best = sorted(items, reverse=True), [len(items)]
 
